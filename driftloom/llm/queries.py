@@ -28,6 +28,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(rows, 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.decontam import contaminated
+
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.cascade import cascade
+
+    return cascade(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.simhash import near_duplicates
+
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
