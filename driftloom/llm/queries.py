@@ -28,6 +28,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(rows, 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.secret_scan import digest, scan_secrets
+
+    return digest(scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def op4_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.pii import digest, sanitise
+
+    return digest(sanitise(read_table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftloom.llm.decontam import contaminated
 
