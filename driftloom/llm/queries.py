@@ -52,6 +52,12 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.pu_quality import score_quality
+
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftloom.llm.simhash import near_duplicates
 
@@ -59,6 +65,12 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.langid import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
