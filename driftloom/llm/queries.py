@@ -71,6 +71,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
+def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.eflm import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
