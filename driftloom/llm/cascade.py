@@ -61,6 +61,11 @@ class Text:
     def n_dup_lines(self) -> int:
         return len(self.lines) - len(set(self.lines))
 
+    @cached_property
+    def dup_line_bytes(self) -> int:
+        """Bytes in lines that equal an earlier line."""
+        return sum(map(len, self.lines)) - sum(map(len, set(self.lines)))
+
     @cached_property
     def n_repeat_words(self) -> int:
         w = self.words
@@ -97,7 +102,7 @@ RULES: dict[str, Rule] = {
     "few_words": lambda t: t.n_words < 50,
     "repeated_windows": lambda t: 100 * t.n_repeat_words > 50 * t.n_words,
     "symbols": lambda t: 10 * t.n_symbols > 2 * t.n_words,
-    "duplicate_lines": lambda t: 10 * t.n_dup_lines > 3 * len(t.lines),
+    "duplicate_lines": lambda t: 10 * t.dup_line_bytes > 3 * len(t.raw),
     "word_length": lambda t: not 2 * t.n_words <= t.word_chars <= 16 * t.n_words,
     "shouting": lambda t: t.upper_share > 0.5,
     "few_wordlike": lambda t: t.wordlike < 0.6,

@@ -152,30 +152,25 @@ def needed(words: int, threshold: float, least_words: int) -> float:
     return max(threshold * MATCH * words, MATCH * min(words, least_words))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                 n: int = 3, window: int = 4, threshold: float = 0.5, least_words: int = 8, block_bytes: int = 16 << 20) -> DataFrame:
-    """A row (doc_id, item_id, score from 0 to 1, item_words, start, end) for each passage that copies an item; start and end
-    are code points.  Several passages of one item in one document give several rows."""
-    spark, docs = docs.sparkSession, docs.select(id_col, text_col)
+def indexes(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str, n: int, window: int, block_bytes: int) -> Iterator[Index]:
+    """The benchmark in blocks of about ``block_bytes``, each with its seeds chosen by the corpus frequencies."""
     bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = None
     for k in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()  # about block_bytes
         index = Index.of([(r.i, r.t) for r in rows], n)
-        if not index.items:
-            continue
-        part = one_block(spark, docs, index, id_col, text_col, window, threshold, least_words)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+        if index.items:
+            index.choose(frequencies(docs, text_col, index), window)
+            yield index
 
 
-def one_block(spark, docs: DataFrame, index: Index, id_col: str, text_col: str, window: int, threshold: float, least_words: int) -> DataFrame:
-    plain = spark.sparkContext.broadcast(index)
+def frequencies(docs: DataFrame, text_col: str, index: Index) -> np.ndarray:
+    """How often each n-gram of the block occurs in the corpus."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = plain.value
+        ix = sent.value
         found = np.zeros(ix.size, dtype=np.int64)
         for b in slices(batches, text_col):
             for text in texts_of(b, text_col):
@@ -183,29 +178,62 @@ def one_block(spark, docs: DataFrame, index: Index, id_col: str, text_col: str,
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["gram", "n"])
 
-    frequency = np.zeros(index.size, dtype=np.int64)
-    for r in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most the block's n-grams
-        frequency[r.gram] = r.n
-    index.choose(frequency, window)
-    seeded = spark.sparkContext.broadcast(index)
+    out = np.zeros(index.size, dtype=np.int64)
+    for r in docs.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most the block's n-grams
+        out[r.gram] = r.n
+    return out
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = seeded.value
-        for b in slices(batches, text_col):
-            rows: list[tuple] = []
-            for doc_id, text in zip(column_of(b, id_col).to_pylist(), texts_of(b, text_col), strict=True):
-                w, spans = ix.numbers(text), None
-                for i, a, z in ix.regions(w):
-                    item_id, item = ix.items[i]
-                    least = needed(len(item), threshold, least_words)
-                    passage = w[a:z]
-                    if MATCH * np.isin(item, passage).sum() < least:
-                        continue
-                    best, first, last = align(item, passage)
-                    if best >= least:
-                        spans = spans or [m.span() for m in WORD.finditer(text.lower())]
-                        rows.append((doc_id, item_id, best / (MATCH * len(item)), len(item), spans[a + first][0], spans[a + last][1]))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(ARROW)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW, strict=True)], schema=ARROW)
-
-    return docs.mapInArrow(score, SCHEMA)
+
+def passages(index: Index, text: str, threshold: float, least_words: int) -> Iterator[tuple]:
+    """(item id, score, item words, start, end) of the text's passages that copy an item."""
+    w, spans = index.numbers(text), None
+    for i, a, z in index.regions(w):
+        item_id, item = index.items[i]
+        least = needed(len(item), threshold, least_words)
+        passage = w[a:z]
+        if MATCH * np.isin(item, passage).sum() < least:
+            continue
+        best, first, last = align(item, passage)
+        if best >= least:
+            spans = spans or [m.span() for m in WORD.finditer(text.lower())]
+            yield item_id, best / (MATCH * len(item)), len(item), spans[a + first][0], spans[a + last][1]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                 n: int = 3, window: int = 4, threshold: float = 0.5, least_words: int = 8, block_bytes: int = 16 << 20) -> DataFrame:
+    """A row (doc_id, item_id, score from 0 to 1, item_words, start, end) for each passage that copies an item; start and end
+    are code points.  Several passages of one item in one document give several rows."""
+    spark, docs = docs.sparkSession, docs.select(id_col, text_col)
+
+    def scan(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, text_col):
+                rows = [(d, *p) for d, text in zip(column_of(b, id_col).to_pylist(), texts_of(b, text_col), strict=True) for p in passages(sent.value, text, threshold, least_words)]
+                cols = list(zip(*rows, strict=True)) if rows else [()] * len(ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW, strict=True)], schema=ARROW)
+
+        return run
+
+    out = None
+    for index in indexes(docs, text_col, benchmark, item_col, item_text_col, n, window, block_bytes):
+        part = docs.mapInArrow(scan(spark.sparkContext.broadcast(index)), SCHEMA)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], SCHEMA)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                         n: int = 3, window: int = 4, threshold: float = 0.5, least_words: int = 8, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` in which no passage copies an item, all columns as they are; nothing is shuffled."""
+
+    def keep(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, text_col):
+                clean = [next(passages(sent.value, text, threshold, least_words), None) is None for text in texts_of(b, text_col)]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    out = docs
+    for index in indexes(docs, text_col, benchmark, item_col, item_text_col, n, window, block_bytes):
+        out = out.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    return out

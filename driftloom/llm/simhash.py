@@ -53,15 +53,21 @@ def fingerprint(raw: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """A 64-bit key of a row's id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """id and fp (the 64 bits as a signed long)."""
+    """id, key (see row_key) and fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            fp = np.fromiter((fingerprint(x, shingle) for x in bytes_of(b, text_col)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([column_of(b, id_col).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["id", "fp"])
+        for b in slices(batches):
+            fp = np.fromiter((fingerprint(x, shingle) for x in bytes_of(b)), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([column_of(b, "id"), column_of(b, "key"), pa.array(fp.view(np.int64))], names=["id", "key", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, key long, fp long")
 
 
 def layout(segments: int) -> list[tuple[list[int], list[int], list[int]]]:
@@ -258,11 +264,20 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row whose id names it (a component of null ids
+    keeps its rows of different texts), rows that repeat id and text once.  The texts are shuffled once, by row_key."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    kept = written(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__dl_key")).distinct())
+    keyed = docs.withColumn("__dl_key", row_key(id_col, text_col)).dropDuplicates(["__dl_key"])
+    return keyed.join(kept, "__dl_key", "left_semi").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, segments: int = 5) -> DataFrame:
-    """id, fp (signed long), component_id: one row per document."""
+    """id, key, fp (signed long), component_id: one row per document."""
     marks = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     distinct = written(marks.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct, segments=segments))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return marks.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("id", "key", "fp", "component_id")
