@@ -6,7 +6,8 @@
 3. Each document's seed hits give regions (item, place); a region whose words can't reach the threshold is left out.
 4. Local alignment over words (match 2, mismatch -1, gap -1) scores each region; paraphrased and edited copies keep most of
    an exact copy's score.  A document is contaminated where score >= threshold * 2 * item words, and never by less than
-   ``least_words`` words' worth (an item shorter than that counts only when whole).
+   ``least_words`` words' worth (an item shorter than that counts only when whole).  An item of fewer than SHORTEST words is no evidence of
+anything and is left out.
 
 The benchmark goes to the executors in blocks of at most ``block_bytes`` bytes of text; each block is one pass over the
 documents, which are never shuffled.  Words are runs of word characters in lower case.
@@ -29,6 +30,7 @@ from driftloom.llm.common import column_of, slices, texts_of
 
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+SHORTEST = 5
 SCHEMA = "doc_id long, item_id long, score double, item_words long, start long, end long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("item_words", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -72,7 +74,7 @@ class Index:
         out = Index(n)
         for item_id, text in rows:
             found = WORD.findall((text or "").lower())
-            if found:
+            if len(found) >= SHORTEST:
                 out.items.append((item_id, np.array([out.words.setdefault(w, len(out.words)) for w in found], dtype=np.int64)))
         at = 0
         for size in sorted({min(n, len(w)) for _, w in out.items}):
