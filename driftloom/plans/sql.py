@@ -13,7 +13,7 @@ CTES: dict[str, str] = {
     "book": """SELECT ts, event_type AS symbol, event_id AS id, value AS bid, value + (1 + event_id % 5) / 100 AS ask, 1.0::DOUBLE + event_id % 7 AS bid_amount,
         1.0::DOUBLE + event_id % 3 AS ask_amount FROM events""",
     "whole": "SELECT * FROM (SELECT *, count(symbol) OVER (PARTITION BY ts) AS c FROM panel) WHERE c = (SELECT count(DISTINCT symbol) FROM panel)",
-    "pairs": "SELECT a.symbol || ' ~ ' || b.symbol AS pair, a.symbol AS sym1, b.symbol AS sym2, a.ts, a.price AS s1, b.price AS s2 FROM panel a JOIN panel b ON a.ts = b.ts AND a.symbol < b.symbol",
+    "pairs": "SELECT u.symbol || ' ~ ' || v.symbol AS pair, u.symbol AS sym1, v.symbol AS sym2, u.ts, u.price AS s1, v.price AS s2 FROM panel u JOIN panel v ON u.ts = v.ts AND u.symbol < v.symbol",
     "fits": """SELECT *, CASE WHEN count(*) OVER w = 60 THEN regr_slope(s1, s2) OVER w END AS beta, CASE WHEN count(*) OVER w = 60 THEN regr_intercept(s1, s2) OVER w END AS alpha
         FROM pairs WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""",
     "spreads": "SELECT *, s1 - alpha - beta * s2 AS spread FROM fits",
@@ -49,14 +49,14 @@ CTES: dict[str, str] = {
     "moves": "SELECT * FROM (SELECT pair, ts, beta / nullif(lag(beta) OVER (PARTITION BY pair ORDER BY ts), 0) - 1 AS r FROM sig WHERE beta IS NOT NULL) WHERE r IS NOT NULL",
     "brets": "SELECT pair, stddev_samp(r) * 100 AS beta_returns_std, mad(r) * 100 AS beta_returns_mad FROM moves GROUP BY 1",
     "rets": "SELECT * FROM (SELECT ts, symbol, price, ln(price / nullif(lag(price) OVER (PARTITION BY symbol ORDER BY ts), 0)) AS ret FROM panel) WHERE ret IS NOT NULL",
-    "corrs": "SELECT a.symbol AS sym1, b.symbol AS sym2, corr(a.ret, b.ret) AS corr FROM rets a JOIN rets b ON a.ts = b.ts GROUP BY 1, 2",
+    "corrs": "SELECT u.symbol AS sym1, v.symbol AS sym2, corr(u.ret, v.ret) AS corr FROM rets u JOIN rets v ON u.ts = v.ts GROUP BY 1, 2",
     "windowed": """SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY pair ORDER BY ts) - 1) // 100 AS window_id, count(*) OVER (PARTITION BY pair) AS n FROM pairs) WHERE window_id < n // 100""",
     "zrows": "SELECT pair, ts, z, s1, s2, beta, row_number() OVER (PARTITION BY pair ORDER BY ts) AS rn FROM sig WHERE z IS NOT NULL",
     "zfirst": "SELECT pair, coalesce(min(CASE WHEN abs(z) <= 0.1 THEN rn END), 1) AS rn0 FROM zrows GROUP BY 1",
     "zb": "SELECT z.pair, z.ts, z.z, z.rn - f.rn0 + 1 AS rn FROM zrows z JOIN zfirst f ON f.pair = z.pair WHERE z.rn >= f.rn0",
     "cst": """SELECT DISTINCT pair, CAST(0 AS BIGINT) AS rn, 0 AS sgn, 0 AS started, 0 AS ended FROM zb UNION ALL
-        SELECT b.pair, b.rn, CASE WHEN c.sgn = 0 THEN CASE WHEN z >= 1 THEN 1 WHEN z <= -1 THEN -1 ELSE 0 END WHEN c.sgn * z <= 0 THEN 0 ELSE c.sgn END,
-        CASE WHEN c.sgn = 0 AND abs(z) >= 1 THEN 1 ELSE 0 END, CASE WHEN c.sgn <> 0 AND c.sgn * z <= 0 THEN 1 ELSE 0 END FROM cst c JOIN zb b ON b.pair = c.pair AND b.rn = c.rn + 1""",
+        SELECT y.pair, y.rn, CASE WHEN c.sgn = 0 THEN CASE WHEN z >= 1 THEN 1 WHEN z <= -1 THEN -1 ELSE 0 END WHEN c.sgn * z <= 0 THEN 0 ELSE c.sgn END,
+        CASE WHEN c.sgn = 0 AND abs(z) >= 1 THEN 1 ELSE 0 END, CASE WHEN c.sgn <> 0 AND c.sgn * z <= 0 THEN 1 ELSE 0 END FROM cst c JOIN zb y ON y.pair = c.pair AND y.rn = c.rn + 1""",
     "cends": "SELECT pair, rn AS rn1, row_number() OVER (PARTITION BY pair ORDER BY rn) AS cycle_id FROM cst WHERE ended = 1",
     "cstarts": "SELECT pair, rn AS rn0, row_number() OVER (PARTITION BY pair ORDER BY rn) AS cycle_id FROM cst WHERE started = 1",
     "cbars": "SELECT s.pair, s.cycle_id, z.ts, z.z, z.rn FROM cstarts s JOIN cends e USING (pair, cycle_id) JOIN zb z ON z.pair = s.pair AND z.rn BETWEEN s.rn0 AND e.rn1",
