@@ -78,8 +78,8 @@ def gram_counts(words: DataFrame, longest: int) -> DataFrame:
     return words.mapInArrow(run, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, totals: dict[str, int], entries: int) -> tuple[dict[str, dict[str, float]], float]:
-    """key -> lang -> log frequency, of at most ``entries`` rows, and the log of the frequency cut."""
+def frequent(counts: DataFrame, totals: dict[str, int], entries: int) -> tuple[pa.Table, float]:
+    """(key, lang, log frequency) of at most ``entries`` rows as an Arrow table, and the log of the frequency cut."""
     total = F.create_map(*[F.lit(x) for kv in totals.items() for x in kv])[F.col("lang")]
     rows = counts.withColumn("bin", F.floor(-F.log2(F.col("n") / total) * 16).cast("int"))
     seen, cut = 0, 0
@@ -87,23 +87,38 @@ def frequent(counts: DataFrame, totals: dict[str, int], entries: int) -> tuple[d
         if seen + r["count"] > entries:
             break
         seen, cut = seen + r["count"], r["bin"] + 1
-    out: dict[str, dict[str, float]] = {}
-    for r in rows.where(F.col("bin") < cut).collect():  # at most ``entries``
-        out.setdefault(r.key, {})[r.lang] = float(np.log(r.n / totals[r.lang]))
-    return out, float(-cut / 16 * np.log(2))
+    kept = rows.where(F.col("bin") < cut).select("key", "lang", F.log(F.col("n") / total).alias("f")).toArrow()  # at most ``entries``
+    return kept.set_column(1, "lang", kept["lang"].combine_chunks().dictionary_encode()), float(-cut / 16 * np.log(2))
+
+
+class Packed:
+    """What training gives: two Arrow tables, small to keep and send.  The model is built where it is used."""
+
+    def __init__(self, langs: list[str], words: tuple[pa.Table, float], parts: tuple[pa.Table, float], longest: int):
+        self.langs, self.words, self.parts, self.longest, self.built = langs, words, parts, longest, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"built": None}
+
+    def model(self) -> Model:
+        if self.built is None:
+            self.built = Model(self.langs, self.words, self.parts, self.longest)
+        return self.built
 
 
 class Model:
-    def __init__(self, langs: list[str], words: tuple[dict, float], parts: tuple[dict, float], longest: int):
+    def __init__(self, langs: list[str], words: tuple[pa.Table, float], parts: tuple[pa.Table, float], longest: int):
         self.langs, self.longest = langs, longest
         self.words, self.word_rows = self.table(*words)
         self.grams, self.gram_rows = self.table(*parts)
         self.start()
 
-    def table(self, known: dict[str, dict[str, float]], cut: float) -> tuple[dict[str, int], np.ndarray]:
-        floor = cut - np.log(2)
-        rows = np.array([[own.get(x, floor) for x in self.langs] for own in known.values()], dtype=np.float64).reshape(len(known), len(self.langs))
-        return {k: i for i, k in enumerate(known)}, rows
+    def table(self, known: pa.Table, cut: float) -> tuple[dict[str, int], np.ndarray]:
+        keys: dict[str, int] = {}
+        at = [keys.setdefault(k, len(keys)) for k in known["key"].to_pylist()]
+        rows = np.full((len(keys), len(self.langs)), cut - np.log(2))
+        rows[at, [self.langs.index(x) for x in known["lang"].to_pylist()]] = known["f"].to_numpy()
+        return keys, rows
 
     def start(self) -> None:
         self.cached: dict[str, int] = {}
@@ -150,28 +165,27 @@ class Model:
         return self.langs[k], float(1 / np.exp(total - total[k]).sum())
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, entries: int = 400_000) -> Model:
+NOTHING = (pa.table({"key": pa.array([], pa.string()), "lang": pa.array([], pa.string()), "f": pa.array([], pa.float64())}), 0.0)
+
+
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, entries: int = 400_000) -> Packed:
     """A model from rows with text and language."""
     words = written(word_counts(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), text_col, lang_col))
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
     if not totals:
-        return Model([], ({}, 0.0), ({}, 0.0), longest)
+        return Packed([], NOTHING, NOTHING, longest)
     parts = written(gram_counts(words, longest))
     gram_totals = {r.lang: r.n for r in parts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    return Model(sorted(totals), frequent(words, totals, entries), frequent(parts, gram_totals, entries), longest)
+    return Packed(sorted(totals), frequent(words, totals, entries), frequent(parts, gram_totals, entries), longest)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, **options) -> DataFrame:
     """doc_id, held_out (fold 0, from which nothing is learned), lang_pred, score."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn("held_out", fold_column("doc_id", folds) == 0)
-    model = train(rows.where("not held_out"), **options)
-    model.cached, model.cache_rows = {}, np.zeros((0, 0))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 x ``entries`` entries
+    sent = docs.sparkSession.sparkContext.broadcast(train(rows.where("not held_out"), **options))  # at most 2 x ``entries`` entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        if not len(m.cache_rows):
-            m.start()
+        m = sent.value.model()
         for b in slices(batches):
             found = [m.predict(t) for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), column_of(b, "held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
