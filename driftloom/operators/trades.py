@@ -198,13 +198,28 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("__all")).alias("share"))  # one row
 
 
+def sums_below(counts: DataFrame, value: str, amount: str, alias: str, pieces: int = 256) -> DataFrame:
+    """Adds the sum of ``amount`` over all rows with a smaller ``value``.  Rows are cut into ``pieces`` by approximate quantiles,
+    which need not be exact: a running sum in each piece and the pieces' totals (at most ``pieces`` rows) give the whole."""
+    marks = counts.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 10_000)).first()[0] or []
+    rows = counts.withColumn("__piece", F.size(F.filter(F.array(*map(F.lit, sorted(set(marks)))), lambda m: m < F.col(value))) if marks else F.lit(0))
+    totals = sorted((r[0], r[1]) for r in rows.groupBy("__piece").agg(F.sum(amount)).collect())  # at most ``pieces`` rows
+    before, seen = [], 0
+    for piece, n in totals:
+        before += [F.lit(piece), F.lit(seen)]
+        seen += n
+    w = Window.partitionBy("__piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(amount).over(w), F.lit(0))
+    start = F.create_map(*before)[F.col("__piece")] if before else F.lit(0)
+    return rows.withColumn("__own", own).withColumn(alias, F.col("__own") + start).drop("__piece", "__own")
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, first: str) -> DataFrame:
     """U of the rows whose ``group`` is ``first`` against the others, z (tie correction, continuity 0.5) and both sizes, for
-    the alternative "greater".  Values are counted first, so ranks come from a running sum over distinct values."""
+    the alternative "greater".  Values are counted first, so ranks come from sums over distinct values."""
     own = F.count_if(F.col(group) == first)
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"), own.alias("c1"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    ranked = sums_below(counts, value, "c", "below")
     sums = ranked.agg(
         F.sum(F.col("c1") * (F.col("below") + (F.col("c") + 1) / 2)).alias("r1"), F.sum("c1").alias("n1"), F.sum(F.col("c") - F.col("c1")).alias("n2"),
         F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"),
@@ -215,6 +230,25 @@ def mann_whitney(df: DataFrame, value: str, group: str, first: str) -> DataFrame
     return sums.select("u", "n1", "n2", ratio(F.col("u") - F.col("n1") * F.col("n2") / 2 - 0.5, sd).alias("z"))
 
 
+def risk_sized(bars: DataFrame, risk: float, entry: float = 1.0, stop: float = 2.0, window: int = 20, keys: list[str] | None = None) -> DataFrame:
+    """(pair, trade_no, position, size, stopped, pnl): trades sized so that a move from the entry level to the stop level costs
+    ``risk``; levels come from mean and deviation of the last ``window`` spreads at entry.  A spread at the stop level ends
+    the trade at -risk."""
+    keys = keys or ["pair"]
+    recent = Window.partitionBy(*keys).orderBy("ts").rowsBetween(1 - window, 0)
+    rows = bars.withColumn("__m", F.avg("spread").over(recent)).withColumn("__s", F.stddev_samp("spread").over(recent))
+    rows = rows.withColumn("__s", F.when(F.col("__s") == 0, F.lit(1e-8)).otherwise(F.col("__s"))).where("trade_no is not null")
+    trade = Window.partitionBy(*keys, "trade_no").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for c, name in (("spread", "__spread0"), ("__m", "__m0"), ("__s", "__s0"), ("position", "__side"), ("ts", "__ts0")):
+        rows = rows.withColumn(name, F.first(c).over(trade))
+    level = F.col("__m0") - F.col("__side") * stop * F.col("__s0")
+    size = F.lit(risk) / (abs(stop - entry) * F.col("__s0"))
+    rows = rows.withColumn("size", size).withColumn("__profit", F.col("__side") * size * (F.col("spread") - F.col("__spread0")))
+    rows = rows.withColumn("__hit", (F.col("ts") > F.col("__ts0")) & (F.col("__side") * (F.col("spread") - level) <= 0))
+    found = rows.groupBy(*keys, "trade_no").agg(F.first("__side").alias("position"), F.first("size").alias("size"), F.bool_or("__hit").alias("stopped"), F.max_by("__profit", "ts").alias("__last"))
+    return found.select(*keys, "trade_no", "position", "size", "stopped", F.when(F.col("stopped"), F.lit(-float(risk))).otherwise(F.col("__last")).alias("pnl"))
+
+
 def mid_and_spread(book: DataFrame) -> DataFrame:
     """Adds mid, quoted spread in percent of the bid, money at ask and bid, and slippage of each side against mid in percent."""
     rows = book.withColumn("mid", (F.col("ask") + F.col("bid")) / 2).withColumn("quoted_spread", ratio(F.col("ask") - F.col("bid"), F.col("bid")) * 100)

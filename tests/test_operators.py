@@ -245,6 +245,33 @@ def test_mann_whitney(spark):
     assert got.u == sum((a > b) + 0.5 * (a == b) for a in x for b in y) and (got.n1, got.n2) == (40, 30)
 
 
+def test_sums_below_in_pieces(spark):
+    rows = [(float(v), 1 + v % 3) for v in range(500)]
+    got = {r.v: r.below for r in M.sums_below(spark.createDataFrame(rows, "v double, c long"), "v", "c", "below", pieces=7).collect()}
+    assert all(got[v] == sum(c for x, c in rows if x < v) for v, _ in rows)
+
+
+def test_risk_sized(spark):
+    spreads = [0.0, 1.0, -1.0, 0.5, -0.5, 3.0, 4.0, 2.0, 30.0, 0.0]
+    rows = [("p", i, s, -1 if 5 <= i < 9 else 0, 1 if 5 <= i <= 9 else None) for i, s in enumerate(spreads)]
+    bars = spark.createDataFrame(rows, "pair string, i int, spread double, position int, trade_no long").withColumn("ts", F.timestamp_seconds("i").cast("timestamp_ntz"))
+    (r,) = M.risk_sized(bars, 100.0, window=6).collect()
+    assert r.size == pytest.approx(100 / np.std(spreads[:6], ddof=1)) and r.stopped and r.pnl == -100
+    (r,) = M.risk_sized(bars.where("i < 8 and i <> 6"), 100.0, window=6).collect()
+    assert not r.stopped and r.pnl == pytest.approx(r.size * (3.0 - 2.0))
+
+
+def test_sinks(spark, tmp_path):
+    from driftloom.sources.sinks import write_csv, write_panel
+
+    df = spark.createDataFrame([("p", 1.0)], "pair string, sharpe double")
+    write_csv(df, f"{tmp_path}/out", compression="gzip", display=True)
+    write_csv(df, f"{tmp_path}/out", compression="gzip", display=True, mode="append")
+    assert spark.read.csv(f"{tmp_path}/out", header=True).columns == ["Pair", "Sharpe ratio"] and spark.read.csv(f"{tmp_path}/out", header=True).count() == 2
+    write_panel(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "symbol string, price double"), f"{tmp_path}/panel")
+    assert spark.read.parquet(f"{tmp_path}/panel").where("symbol = 'a'").count() == 1
+
+
 def test_live_bars(spark, tmp_path):
     from driftloom.operators.resample import ohlcv
     from driftloom.streaming.live import live_bars, live_positions
