@@ -95,12 +95,14 @@ def scale(segment: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """bounds: first key of each shard; offsets: number of entries before each shard; grams, weights: the shards' files."""
+    """bounds: first key of each shard; offsets: number of entries before each shard; grams, weights: the shards' files ("" for
+    a shard without entries); hot: weights of the contexts that are cut over shards."""
 
     bounds: np.ndarray
     offsets: np.ndarray
     grams: list[str]
     weights: list[str] = field(default_factory=list)
+    hot: dict[int, float] = field(default_factory=dict)
     opened: dict = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -155,11 +157,16 @@ class Level:
         return out
 
     def weight(self, contexts: np.ndarray, width: int) -> np.ndarray:
-        """Interpolation weights of sorted contexts that have children."""
+        """Interpolation weights of sorted contexts; 1 for those without children."""
         out = np.ones(len(contexts))
         for s, a, b in self.by_shard(contexts.astype(np.uint64) * np.uint64(width), self.bounds):
-            _, _, codes, values, _ = self.part("weights", s)
-            out[a:b] = values[codes[contexts[a:b] - int(self.bounds[s]) // width]]
+            if self.weights[s]:
+                _, _, codes, values, pointers = self.part("weights", s)
+                at = contexts[a:b] - int(self.bounds[s]) // width
+                inside = at < pointers.n - 1
+                out[a:b][inside] = values[codes[at[inside]]]
+        for place in np.flatnonzero(np.isin(contexts, list(self.hot))) if self.hot else ():
+            out[place] = self.hot[int(contexts[place])]
         return out
 
 
@@ -356,7 +363,7 @@ def bounds_for(contexts: int, width: int, shards: int, hot: list[tuple[int, int]
     return np.array(sorted(k for k in keys if k < contexts * width or k == 0), dtype=np.uint64)
 
 
-def weigh(spark, level: Level, below: Level, trie: Trie, rows: list, folder: str, start: bool) -> None:
+def weigh(spark, level: Level, below: Level, trie: Trie, rows: list, folder: str, start: bool, hot: list[tuple[int, int]]) -> None:
     """Writes the weight file of each shard: codes of grams and contexts, their scales, pointers."""
     ones, twos = sum(r.ones for r in rows), sum(r.twos for r in rows)
     discount = ones / (ones + 2 * twos) if ones else 0.5
@@ -382,12 +389,13 @@ def weigh(spark, level: Level, below: Level, trie: Trie, rows: list, folder: str
         for place in {int(context[0]), int(context[-1])}:
             n[place - c0] = children[place]
         alpha, a_scale = to_codes((count - discount) / totals[context - c0])
-        weight = np.where(n > 0, discount * np.maximum(n, 1) / np.maximum(totals, 1), 1.0)
+        weight = np.where(n > 0, discount * np.maximum(n, 1) / np.maximum(totals, 1), 1.0)  # without children: all goes to the level below
         codes, w_scale = to_codes(weight)
         uri = f"{folder}/{s:05d}-{uuid.uuid4().hex[:12]}"
         save(uri, [alpha, a_scale, codes, w_scale, EliasFano.encode(pointers)])
         return [(s, uri)]
 
+    level.hot = {place: discount * children[place] / n for place, n in hot if place in children}
     level.weights = [""] * len(level.grams)
     level.opened = {}
     for r in over_shards(spark, [s for s, g in enumerate(level.grams) if g], work, "shard long, uri string", ["shard", "uri"]):
@@ -405,7 +413,8 @@ def build(texts: DataFrame, *, order: int = 3, shard_tokens: int = 2_000_000) ->
     for k in range(2, order + 1):
         below, contexts = trie.levels[-1], trie.width if k == 2 else trie.levels[-1].size
         least = max(1.0, trie.tokens / shards)
-        bounds = bounds_for(contexts, trie.width, shards, frequent(spark, below, least) + ([(trie.words, size.n)] if k == 2 and size.n > least else []), least)
+        hot = frequent(spark, below, least) + ([(trie.words, size.n)] if k == 2 and size.n > least else [])
+        bounds = bounds_for(contexts, trie.width, shards, hot, least)
 
         def keys_of(hashes: np.ndarray, first: np.ndarray, k: int = k) -> np.ndarray:
             ids = trie.ids(hashes)
@@ -413,7 +422,7 @@ def build(texts: DataFrame, *, order: int = 3, shard_tokens: int = 2_000_000) ->
 
         rows = merged(count_keys(texts, bounds, keys_of), bounds, trie.width, f"{folder}/{k}")
         level = level_of(rows, bounds)
-        weigh(spark, level, below, trie, rows, f"{folder}/{k}w", k == 2)
+        weigh(spark, level, below, trie, rows, f"{folder}/{k}w", k == 2, hot)
         trie.levels.append(level)
     return trie
 

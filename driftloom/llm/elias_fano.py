@@ -95,24 +95,29 @@ class EliasFano:
         return np.where(part > 0, at, 0)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The index of each value, or -1: the successor search, ended where the successor differs."""
+        """The index of each value, or -1: successor search, by bisection among the values of the same high part, of which a
+        dense stretch of the sequence has many."""
         values = np.asarray(values, dtype=np.uint64)
         out = np.full(len(values), -1, dtype=np.int64)
         part = values >> np.uint64(self.width)
         live = np.flatnonzero(part < np.uint64(self.zeros[-1]))
         if not live.size or not self.n:
             return out
-        wanted = values[live] & np.uint64((1 << self.width) - 1)
-        at = self.start_of(part[live])
-        index = at - part[live].astype(np.int64)
-        while live.size:
-            inside = (self.high[at >> 6] >> (at & 63).astype(np.uint64) & ONE) == ONE
-            live, wanted, at, index = live[inside], wanted[inside], at[inside], index[inside]
-            low = unpacked(self.low, self.width, index)
-            same = low == wanted
-            out[live[same]] = index[same]
-            go = low < wanted
-            live, wanted, at, index = live[go], wanted[go], at[go] + 1, index[go] + 1
+        wanted, part = values[live] & np.uint64((1 << self.width) - 1), part[live].astype(np.int64)
+        first = self.start_of(part) - part
+        last = self.start_of(part + 1) - part - 1
+        some = first < last
+        live, wanted, first, last = live[some], wanted[some], first[some], last[some]
+        low, high = first, last.copy()
+        open_ = np.flatnonzero(high - low > 1)
+        while open_.size:  # the last value that is not above the wanted one lies in [low, high)
+            mid = (low[open_] + high[open_]) >> 1
+            above = unpacked(self.low, self.width, mid) > wanted[open_]
+            high[open_] = np.where(above, mid, high[open_])
+            low[open_] = np.where(above, low[open_], mid)
+            open_ = open_[high[open_] - low[open_] > 1]
+        same = unpacked(self.low, self.width, low) == wanted
+        out[live[same]] = low[same]
         return out
 
     def access(self, index: np.ndarray) -> np.ndarray:
