@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute
@@ -21,12 +22,14 @@ def fold_column(id_col: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+@lru_cache(maxsize=1)
+def own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="driftloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor sees; a temp folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="driftloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or own_dir()
     return f"{base.rstrip('/')}/driftloom/{uuid.uuid4().hex}"
 
 

@@ -1,15 +1,11 @@
 import random
 
 import pytest
+from prose_maker import prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def prose(rng: random.Random, words: int) -> str:
-    syllables = ["an", "the", "er", "on", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of"]
-    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(words))
-
-
 @pytest.fixture(scope="session")
 def rows():
     """Nulls, empty and long texts, exact and near copies, repeated rows, ties."""

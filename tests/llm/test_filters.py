@@ -7,7 +7,7 @@ import pytest
 
 from driftloom.llm import cascade, decontam
 from driftloom.llm.queries import op5_decontamination, op6_quality_cascade
-from conftest import prose
+from prose_maker import prose
 
 
 def brute_counts(text):
