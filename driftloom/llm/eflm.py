@@ -148,12 +148,11 @@ class Level:
         return out
 
     def alpha(self, places: np.ndarray) -> np.ndarray:
-        """Discounted probabilities of sorted places (-1: 0)."""
+        """Discounted probabilities of sorted places."""
         out = np.zeros(len(places))
         for s, a, b in self.by_shard(places, self.offsets[:-1]):
             codes, values, *_ = self.part("weights", s)
             out[a:b] = values[codes[places[a:b] - self.offsets[s]]]
-        out[places < 0] = 0
         return out
 
     def weight(self, contexts: np.ndarray, width: int) -> np.ndarray:
@@ -165,8 +164,8 @@ class Level:
                 at = contexts[a:b] - int(self.bounds[s]) // width
                 inside = at < pointers.n - 1
                 out[a:b][inside] = values[codes[at[inside]]]
-        for place in np.flatnonzero(np.isin(contexts, list(self.hot))) if self.hot else ():
-            out[place] = self.hot[int(contexts[place])]
+        for context, value in self.hot.items():
+            out[np.searchsorted(contexts, context, side="left") : np.searchsorted(contexts, context, side="right")] = value
         return out
 
 
@@ -189,18 +188,16 @@ class Trie:
         unique, back = np.unique(hashes, return_inverse=True)
         return self.levels[0].find(unique)[back]
 
-    def places(self, ids: np.ndarray, first: np.ndarray, levels: int) -> list[np.ndarray]:
-        """For levels 2 to ``levels``: the context of each token (-1: none) and its place (-1: not in the level), in turn."""
-        out = []
+    def context(self, ids: np.ndarray, first: np.ndarray, level: int) -> np.ndarray:
+        """The context of each token at a level: the place below of the tokens before it, -1 if there is none."""
         context = np.where(first, self.words, np.roll(ids, 1)) if len(ids) else ids
-        for level in self.levels[1:levels]:
+        for below in self.levels[1 : level - 1]:
             key, ok = self.keys(context, ids)
-            place = np.full(len(ids), -1, dtype=np.int64)
             unique, back = np.unique(key, return_inverse=True)
-            place[ok] = level.find(unique)[back]
-            out += [context, place]
+            place = np.full(len(ids), -1, dtype=np.int64)
+            place[ok] = below.find(unique)[back]
             context = np.where(first, -1, np.roll(place, 1))
-        return [*out, context]
+        return context
 
     def keys(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = (context >= 0) & (ids >= 0)
@@ -215,15 +212,20 @@ class Trie:
         ids, count = found[back], own[back]
         p = (count + 1) / (self.tokens + self.words + 1)
         base = np.log10(p)
-        chain = self.places(ids, first, len(self.levels))
-        for k, level in enumerate(self.levels[1:]):
-            context, place = chain[2 * k], chain[2 * k + 1]
-            at, back = np.unique(place, return_inverse=True)
-            alpha = level.alpha(at)[back]
-            at, back = np.unique(context, return_inverse=True)
-            weight = np.ones(len(at))
-            weight[at >= 0] = level.weight(at[at >= 0], self.width)
-            p = np.where(context >= 0, alpha + weight[back] * p, p)
+        context = np.where(first, self.words, np.roll(ids, 1)) if len(ids) else ids
+        known = np.where(ids >= 0, ids, self.words)  # the start is nobody's child: such a key is never found
+        for level in self.levels[1:]:
+            ok = context >= 0
+            unique, back = np.unique(context[ok].astype(np.uint64) * np.uint64(self.width) + known[ok].astype(np.uint64), return_inverse=True)
+            found = level.find(unique)
+            hit = found >= 0
+            alpha = np.zeros(len(unique))
+            alpha[hit] = level.alpha(found[hit])  # places are in the order of their keys
+            weight = level.weight((unique // np.uint64(self.width)).astype(np.int64), self.width)
+            p[ok] = alpha[back] + weight[back] * p[ok]
+            place = np.full(len(ids), -1, dtype=np.int64)
+            place[ok] = found[back]
+            context = np.where(first, -1, np.roll(place, 1))
         return count, base, np.log10(p)
 
 
@@ -418,7 +420,7 @@ def build(texts: DataFrame, *, order: int = 3, shard_tokens: int = 2_000_000) ->
 
         def keys_of(hashes: np.ndarray, first: np.ndarray, k: int = k) -> np.ndarray:
             ids = trie.ids(hashes)
-            return trie.keys(trie.places(ids, first, k - 1)[-1], ids)[0]
+            return trie.keys(trie.context(ids, first, k), ids)[0]
 
         rows = merged(count_keys(texts, bounds, keys_of), bounds, trie.width, f"{folder}/{k}")
         level = level_of(rows, bounds)
