@@ -10,12 +10,13 @@ from __future__ import annotations
 import numpy as np
 
 ONE = np.uint64(1)
-#: For each byte and k, the place of its k-th zero bit (8 if there is none); built from the rule.
-ZERO_PLACE = np.full((256, 9), 8, dtype=np.uint8)
+#: For each byte and k, the place of its k-th one bit (8 if there is none); built from the rule.
+ONE_PLACE = np.full((256, 9), 8, dtype=np.uint8)
 for _byte in range(256):
-    for _k, _p in enumerate([p for p in range(8) if not _byte >> p & 1]):
-        ZERO_PLACE[_byte, _k] = _p
-ONE_PLACE = ZERO_PLACE[::-1].copy()  # the complement's zeros
+    for _k, _p in enumerate([p for p in range(8) if _byte >> p & 1]):
+        ONE_PLACE[_byte, _k] = _p
+EACH, TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+ODD, PAIRS, NIBBLES = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
 
 
 def packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -40,16 +41,18 @@ def unpacked(words: np.ndarray, width: int, index: np.ndarray) -> np.ndarray:
     return (low | high) & (((ONE << np.uint64(width)) - ONE) if width < 64 else ~np.uint64(0))
 
 
-def place_in_word(words: np.ndarray, k: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The place of the k-th zero (or one, by ``table``) in each 64-bit word."""
-    octets = words.reshape(-1, 1).view(np.uint8).reshape(-1, 8)
-    counts = np.bitwise_count(octets).astype(np.int64)
-    ends = (counts if table is ONE_PLACE else 8 - counts).cumsum(axis=1)
-    octet = (ends <= k[:, None]).sum(axis=1)
-    rows = np.arange(len(words))
-    octet = np.minimum(octet, 7)
-    before = np.where(octet > 0, ends[rows, octet - 1], 0)
-    return 8 * octet + table[octets[rows, octet], k - before]
+def place_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th one in each 64-bit word: running bit counts of the eight octets stand in the octets of one word,
+    and comparing them all with k at once tells the octet."""
+    k = k.astype(np.uint64)
+    s = words - ((words >> np.uint64(1)) & ODD)
+    s = (s & PAIRS) + ((s >> np.uint64(2)) & PAIRS)
+    ends = ((s + (s >> np.uint64(4))) & NIBBLES) * EACH
+    octet = np.minimum(np.bitwise_count(((k * EACH | TOPS) - ends) & TOPS), 7).astype(np.uint64)
+    shift = octet << np.uint64(3)
+    before = ((ends << np.uint64(8)) >> shift) & np.uint64(255)
+    own = (words >> shift) & np.uint64(255)
+    return shift.astype(np.int64) + ONE_PLACE[own.astype(np.intp), np.minimum(k - before, np.uint64(8)).astype(np.intp)]
 
 
 class EliasFano:
@@ -91,7 +94,7 @@ class EliasFano:
         word = np.searchsorted(self.zeros, part, side="left") - 1
         word = np.where(part > 0, word, 0)
         k = part - 1 - self.zeros[word].astype(np.int64)
-        at = 64 * word + place_in_word(self.high[word], np.maximum(k, 0), ZERO_PLACE) + 1
+        at = 64 * word + place_in_word(~self.high[word], np.maximum(k, 0)) + 1
         return np.where(part > 0, at, 0)
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -125,7 +128,7 @@ class EliasFano:
         index = np.asarray(index, dtype=np.int64)
         ones = 64 * np.arange(len(self.zeros), dtype=np.int64) - self.zeros.astype(np.int64)
         word = np.searchsorted(ones, index, side="right") - 1
-        at = 64 * word + place_in_word(self.high[word], index - ones[word], ONE_PLACE)
+        at = 64 * word + place_in_word(self.high[word], index - ones[word])
         return ((at - index).astype(np.uint64) << np.uint64(self.width)) | unpacked(self.low, self.width, index)
 
     def all(self) -> np.ndarray:
