@@ -264,15 +264,19 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row whose id names it (a component of null ids
-    keeps its rows of different texts), rows that repeat id and text once.  The texts are shuffled once, by row_key."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+def named_rows(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component in ``found`` (id, key, component_id) the row whose id names it (a component of null ids keeps its rows
+    of different texts), rows that repeat id and text once.  The texts are shuffled once, by row_key."""
     kept = written(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__dl_key")).distinct())
     keyed = docs.withColumn("__dl_key", row_key(id_col, text_col)).dropDuplicates(["__dl_key"])
     return keyed.join(kept, "__dl_key", "left_semi").select(*docs.columns)
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates (see named_rows)."""
+    return named_rows(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col=id_col, text_col=text_col)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, segments: int = 5) -> DataFrame:
     """id, key, fp (signed long), component_id: one row per document."""
     marks = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
