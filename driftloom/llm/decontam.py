@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
-
-1. Corpus frequencies of the benchmark's own word n-grams are counted over all documents.
-2. Of every ``window`` neighbouring n-grams of an item the rarest becomes a seed, so any run of n + window - 1 words shared
-   with an item, however common, holds a seed: rarity picks among neighbours and drops nothing.
-3. Each document's seed hits give regions (item, place); a region whose words can't reach the threshold is left out.
+"""Benchmark decontamination: rare words as seeds find candidate passages, Smith-Waterman alignment scores them.
+
+1. A passage at the threshold matches at least k words of the item, k being half the least score.  Of the item's words the
+   commonest in the benchmark, k // 2 places at most, are no seeds; a document that holds too few of the other places to
+   match k with those, anywhere or within the span of 2, is no candidate.  Rarity prunes only what can't reach the threshold.
+2. Such a passage spans at most 3 words - least score places of the document, as every word it leaves unmatched costs a point.
+   Regions are the runs of places with k of the item's words in that span; they cover every passage at the threshold.
+3. A region whose longest common subsequence with the item is under k words is left out.
 4. Local alignment over words (match 2, mismatch -1, gap -1) scores each region; paraphrased and edited copies keep most of
    an exact copy's score.  A document is contaminated where score >= threshold * 2 * item words, and never by less than
    ``least_words`` words' worth (an item shorter than that counts only when whole).  An item of fewer than SHORTEST words is no evidence of
@@ -17,6 +19,7 @@ empty tables give no rows; columns other than those named are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -60,149 +63,130 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass
 class Index:
-    """A block of the benchmark: word numbers, items as word numbers, n-gram table and seeds."""
+    """A block of the benchmark: word numbers, items as word numbers, and for each word the items in which it is a seed."""
 
-    n: int
     words: dict[str, int] = field(default_factory=dict)
     items: list[tuple[int, np.ndarray]] = field(default_factory=list)
-    grams: dict[int, np.ndarray] = field(default_factory=dict)  # by length: the sorted codes
-    first: dict[int, int] = field(default_factory=dict)  # by length: the number of its first gram
-    seeds: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # gram number -> (item, place)
+    least: list[float] = field(default_factory=list)  # by item: the score that counts
+    rare: list[np.ndarray] = field(default_factory=list)  # by item: its seeds
+    seeds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the items of word 0, of word 1, ..., once a place
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where each word's items begin
+    hits: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by item: seeds that a candidate holds at least
 
     @staticmethod
-    def of(rows: list[tuple[int, str]], n: int) -> Index:
-        out = Index(n)
+    def of(rows: list[tuple[int, str]], threshold: float, least_words: int) -> Index:
+        out = Index()
         for item_id, text in rows:
             found = WORD.findall((text or "").lower())
             if len(found) >= SHORTEST:
                 out.items.append((item_id, np.array([out.words.setdefault(w, len(out.words)) for w in found], dtype=np.int64)))
-        at = 0
-        for size in sorted({min(n, len(w)) for _, w in out.items}):
-            out.grams[size] = np.unique(np.concatenate([out.codes(w, size) for _, w in out.items if min(n, len(w)) == size]))
-            out.first[size] = at
-            at += len(out.grams[size])
+                out.least.append(needed(len(found), threshold, least_words))
+        common = np.zeros(len(out.words), dtype=np.int64)
+        for _, w in out.items:
+            common[np.unique(w)] += 1
+        words, items, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for i, (_, w) in enumerate(out.items):
+            k = out.matches(i)
+            kinds, places = np.unique(w, return_counts=True)
+            order = np.argsort(-common[kinds], kind="stable")
+            pruned = int(np.searchsorted(np.cumsum(places[order]), k // 2, side="right"))  # so many kinds fill at most k // 2 places
+            own = w[~np.isin(w, kinds[order[:pruned]])]
+            words.append(own)
+            items.append(np.full(len(own), i))
+            out.rare.append(np.unique(own))
+            hits.append(k - (len(w) - len(own)))
+        word, item = np.concatenate(words), np.concatenate(items)
+        out.seeds = item[np.argsort(word, kind="stable")]
+        out.first = np.searchsorted(np.sort(word), np.arange(len(out.words) + 1))
+        out.hits = np.array(hits, dtype=np.int64)
         return out
 
-    @property
-    def size(self) -> int:
-        return sum(map(len, self.grams.values()))
-
-    def codes(self, w: np.ndarray, size: int) -> np.ndarray:
-        """A 64-bit code for each window of ``size`` words; -1 in a window makes the code meaningless (see hits)."""
-        code = np.zeros(max(0, len(w) - size + 1), dtype=np.uint64)
-        for k in range(size):
-            code = code * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k].astype(np.uint64) + np.uint64(1)
-        return code
-
-    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, gram numbers) of the benchmark's n-grams in a text."""
-        places, numbers = [], []
-        known = w >= 0
-        for size, table in self.grams.items():
-            if len(w) < size:
-                continue
-            ok = known[: len(w) - size + 1].copy()
-            for k in range(1, size):
-                ok &= known[k : len(w) - size + 1 + k]
-            at = np.flatnonzero(ok)
-            if not at.size:
-                continue
-            code = self.codes(w, size)[at]
-            j = np.minimum(np.searchsorted(table, code), len(table) - 1)
-            same = table[j] == code
-            places.append(at[same])
-            numbers.append(j[same] + self.first[size])
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(places), np.concatenate(numbers)
+    def matches(self, i: int) -> int:
+        """Words of the item that a passage at its least score matches at least."""
+        return math.ceil(self.least[i] / MATCH - 1e-9)
 
     def numbers(self, text: str) -> np.ndarray:
         get = self.words.get
         return np.array([get(w, -1) for w in WORD.findall(text.lower())], dtype=np.int64)
 
-    def choose(self, frequency: np.ndarray, window: int) -> None:
-        """The rarest gram of every ``window`` neighbours (the first of equals) becomes a seed."""
-        for i, (_, w) in enumerate(self.items):
-            size = min(self.n, len(w))
-            own = np.searchsorted(self.grams[size], self.codes(w, size)) + self.first[size]
-            rarity, picked = frequency[own], set()
-            for a in range(max(1, len(own) - window + 1)):
-                picked.add(a + int(rarity[a : a + window].argmin()))
-            for p in picked:
-                self.seeds.setdefault(int(own[p]), []).append((i, p))
+    def candidates(self, w: np.ndarray) -> np.ndarray:
+        """The items of which a text holds enough seeds."""
+        held = np.unique(w[w >= 0])
+        first, sizes = self.first[held], self.first[held + 1] - self.first[held]
+        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.flatnonzero(np.bincount(self.seeds[at], minlength=len(self.items)) >= self.hits)
 
     def regions(self, w: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, from, to) around seed hits; overlapping regions of an item are joined."""
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        places, numbers = self.hits(w)
-        for p, g in zip(places.tolist(), numbers.tolist(), strict=True):
-            for i, q in self.seeds.get(g, ()):
-                n = len(self.items[i][1])
-                by_item.setdefault(i, []).append((max(0, p - q - n // 4 - 1), min(len(w), p - q + n + n // 4 + 1)))
-        for i, spans in sorted(by_item.items()):
-            spans.sort()
-            a, b = spans[0]
-            for x, y in spans[1:]:
-                if x > b:
-                    yield i, a, b
-                    a, b = x, y
-                b = max(b, y)
-            yield i, a, b
+        """(item, from, to): the places of a text where a passage at the item's least score can be."""
+        has = np.zeros(len(self.words) + 1, dtype=bool)  # the last place is -1's
+        for i in self.candidates(w).tolist():
+            item, k = self.items[i][1], self.matches(i)
+            span = 3 * len(item) - self.least[i]
+            if not len(runs(has, self.rare[i], w, int(self.hits[i]), span)[0]):
+                continue
+            starts, ends = runs(has, item, w, k, span)
+            if not len(starts):
+                continue
+            cut = np.flatnonzero(starts[1:] > ends[:-1]) + 1
+            for a, z in zip(starts[np.concatenate([[0], cut])].tolist(), ends[np.concatenate([cut - 1, [-1]])].tolist(), strict=True):
+                if common_words(item, w[a : z + 1]) >= k:
+                    yield i, a, z + 1
+
+
+def runs(has: np.ndarray, words: np.ndarray, w: np.ndarray, k: int, span: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of each ``k`` neighbouring places that hold one of ``words`` within the span; ``has`` is all False."""
+    has[words] = True
+    places = np.flatnonzero(has[w])
+    has[words] = False
+    ends = places[k - 1 :]
+    starts = places[: len(ends)]
+    near = ends - starts < span
+    return starts[near], ends[near]
+
+
+def common_words(item: np.ndarray, passage: np.ndarray) -> int:
+    """Length of the longest common subsequence, a bit for each word of the item."""
+    masks: dict[int, int] = {}
+    for k, x in enumerate(item.tolist()):
+        masks[x] = masks.get(x, 0) | 1 << k
+    every = (1 << len(item)) - 1
+    left = every
+    for m in map(masks.get, passage.tolist()):
+        if m:
+            u = left & m
+            left = ((left + u) | (left - u)) & every
+    return len(item) - left.bit_count()
 
 
 def needed(words: int, threshold: float, least_words: int) -> float:
     return max(threshold * MATCH * words, MATCH * min(words, least_words))
 
 
-def indexes(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str, n: int, window: int, block_bytes: int) -> Iterator[Index]:
-    """The benchmark in blocks of about ``block_bytes``, each with its seeds chosen by the corpus frequencies."""
+def indexes(benchmark: DataFrame, item_col: str, item_text_col: str, threshold: float, least_words: int, block_bytes: int) -> Iterator[Index]:
+    """The benchmark in blocks of about ``block_bytes``."""
     bench = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()  # about block_bytes
-        index = Index.of([(r.i, r.t) for r in rows], n)
+        index = Index.of([(r.i, r.t) for r in rows], threshold, least_words)
         if index.items:
-            index.choose(frequencies(docs, text_col, index), window)
             yield index
 
 
-def frequencies(docs: DataFrame, text_col: str, index: Index) -> np.ndarray:
-    """How often each n-gram of the block occurs in the corpus."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = sent.value
-        found = np.zeros(ix.size, dtype=np.int64)
-        for b in slices(batches, text_col):
-            for text in texts_of(b, text_col):
-                np.add.at(found, ix.hits(ix.numbers(text))[1], 1)
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["gram", "n"])
-
-    out = np.zeros(index.size, dtype=np.int64)
-    for r in docs.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most the block's n-grams
-        out[r.gram] = r.n
-    return out
-
-
-def passages(index: Index, text: str, threshold: float, least_words: int) -> Iterator[tuple]:
+def passages(index: Index, text: str) -> Iterator[tuple]:
     """(item id, score, item words, start, end) of the text's passages that copy an item."""
     w, spans = index.numbers(text), None
     for i, a, z in index.regions(w):
         item_id, item = index.items[i]
-        least = needed(len(item), threshold, least_words)
-        passage = w[a:z]
-        if MATCH * np.isin(item, passage).sum() < least:
-            continue
-        best, first, last = align(item, passage)
-        if best >= least:
+        best, first, last = align(item, w[a:z])
+        if best >= index.least[i]:
             spans = spans or [m.span() for m in WORD.finditer(text.lower())]
             yield item_id, best / (MATCH * len(item)), len(item), spans[a + first][0], spans[a + last][1]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                 n: int = 3, window: int = 4, threshold: float = 0.5, least_words: int = 8, block_bytes: int = 16 << 20) -> DataFrame:
+                 threshold: float = 0.5, least_words: int = 8, block_bytes: int = 16 << 20) -> DataFrame:
     """A row (doc_id, item_id, score from 0 to 1, item_words, start, end) for each passage that copies an item; start and end
     are code points.  Several passages of one item in one document give several rows."""
     spark, docs = docs.sparkSession, docs.select(id_col, text_col)
@@ -210,32 +194,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     def scan(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, text_col):
-                rows = [(d, *p) for d, text in zip(column_of(b, id_col).to_pylist(), texts_of(b, text_col), strict=True) for p in passages(sent.value, text, threshold, least_words)]
+                rows = [(d, *p) for d, text in zip(column_of(b, id_col).to_pylist(), texts_of(b, text_col), strict=True) for p in passages(sent.value, text)]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * len(ARROW)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW, strict=True)], schema=ARROW)
 
         return run
 
     out = None
-    for index in indexes(docs, text_col, benchmark, item_col, item_text_col, n, window, block_bytes):
+    for index in indexes(benchmark, item_col, item_text_col, threshold, least_words, block_bytes):
         part = docs.mapInArrow(scan(spark.sparkContext.broadcast(index)), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                         n: int = 3, window: int = 4, threshold: float = 0.5, least_words: int = 8, block_bytes: int = 16 << 20) -> DataFrame:
+                         threshold: float = 0.5, least_words: int = 8, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs`` in which no passage copies an item, all columns as they are; nothing is shuffled."""
 
     def keep(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, text_col):
-                clean = [next(passages(sent.value, text, threshold, least_words), None) is None for text in texts_of(b, text_col)]
+                clean = [next(passages(sent.value, text), None) is None for text in texts_of(b, text_col)]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         return run
 
     out = docs
-    for index in indexes(docs, text_col, benchmark, item_col, item_text_col, n, window, block_bytes):
+    for index in indexes(benchmark, item_col, item_text_col, threshold, least_words, block_bytes):
         out = out.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return out

@@ -129,3 +129,21 @@ def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(empty, bench).count() == 0
     assert decontam.without_contaminated(empty, spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")).count() == 0
+
+
+def test_copies_edited_every_few_words(spark):
+    """Substitutions every 3 to 6 words and insertions after every one to 4 words are found wherever they reach the threshold."""
+    rng, items, texts, expected = random.Random(21), [], [], set()
+    for k in range(60):
+        item = [f"w{k}x{j}" if j % 3 else rng.choice(["the", "of", "and", "in"]) for j in range(20 + k % 21)]
+        items.append((k, " ".join(item)))
+        for kind, every in (("swap", 3), ("swap", 4), ("swap", 5), ("swap", 6), ("add", 1), ("add", 2), ("add", 4)):
+            copy = [x for j, w in enumerate(item) for x in ((["new%d" % j] if kind == "swap" else [w, "new%d" % j]) if j % every == every - 1 else [w])]
+            number = {w: i for i, w in enumerate(dict.fromkeys(item + copy))}
+            if decontam.align(np.array([number[w] for w in item]), np.array([number[w] for w in copy]))[0] >= decontam.needed(len(item), 0.5, 8):
+                expected.add((len(texts), k))
+            texts.append((len(texts), " ".join(["before"] * 30 + copy + ["after"] * 30)))
+    assert len(expected) > 300
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == expected
+    assert {r.doc_id for r in decontam.without_contaminated(docs, bench).collect()} == {d for d, _ in texts} - {d for d, _ in expected}
