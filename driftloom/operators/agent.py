@@ -227,6 +227,26 @@ def choose(features: DataFrame, net: Net, rules: list[fold.Rules]) -> DataFrame:
     return features.mapInPandas(run, "pair string, cycle_id long, param string")
 
 
+def learn_and_choose(features: DataFrame, rewards: DataFrame, rules: list[fold.Rules], settings: Settings | None = None) -> DataFrame:
+    """A learner for each pair, each in its own grouped task; its greedy rule for the cycle after each cycle: (pair, cycle_id, param)."""
+    import pandas as pd
+
+    labels, names = [r.label for r in rules], list(FEATURES)
+    by_label = F.map_from_entries(F.collect_list(F.struct("param", F.struct("reward", "profit"))))
+    table = rewards.groupBy("pair", "cycle_id").agg(by_label.alias("of"))
+    got = [F.array(*[F.col("of")[x][c] for x in labels]).alias(c) for c in ("reward", "profit")]
+    rows = features.join(table, ["pair", "cycle_id"]).select("pair", "cycle_id", *names, *got)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("cycle_id")
+        x = np.nan_to_num(f[names].to_numpy(dtype=float))
+        env = Environment(x, np.array(f["reward"].tolist(), dtype=float), np.array(f["profit"].tolist(), dtype=float))
+        actions = train(env, settings=settings).net(x).argmax(axis=1)
+        return pd.DataFrame({"pair": f["pair"], "cycle_id": f["cycle_id"] + 1, "param": [labels[i] for i in actions]})
+
+    return rows.groupBy("pair").applyInPandas(run, "pair string, cycle_id long, param string")
+
+
 def tune(env: Environment, validation: Environment, trials: int = 10, epochs: int = 5, seed: int = 0) -> tuple[Settings, list[dict]]:
     """Seeded random search over six settings; the best average validation reward wins."""
     from driftloom.operators.sweeps import random_search

@@ -662,7 +662,5 @@ def mp_density(spark, d):
 def agent_choices(spark, d):
     from driftloom.operators import agent
 
-    bars = cycle_bars(spark, d).where("pair = 'AF ~ NF'")
-    features, rewards = agent.cycle_features(bars), agent.reward_table(bars, THRESHOLDS[:4])
-    env = agent.Environment.of(features, rewards, THRESHOLDS[:4], "AF ~ NF")
-    return agent.choose(features, agent.train(env, settings=agent.Settings(epochs=2)).net, THRESHOLDS[:4])
+    bars = cycle_bars(spark, d)
+    return agent.learn_and_choose(agent.cycle_features(bars), agent.reward_table(bars, THRESHOLDS), THRESHOLDS)

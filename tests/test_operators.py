@@ -110,6 +110,21 @@ def test_agent(spark, signals, tmp_path):
     assert {r.reward for r in agent.legacy_reward(rewards).select("reward").distinct().collect()} <= {1000, -500, 0}
 
 
+def test_agent_choices_cover_all_pairs_and_rules(spark, signals, monkeypatch):
+    """The query gives each pair the choices of its own learner, with all rules and the default settings."""
+    from driftloom.plans import queries
+
+    cycles = fold.with_cycles(signals)
+    monkeypatch.setattr(queries, "cycle_bars", lambda spark, d: cycles)
+    got = {(r.pair, r.cycle_id): r.param for r in queries.agent_choices(spark, "").collect()}
+    features, rewards = agent.cycle_features(cycles).cache(), agent.reward_table(cycles, queries.THRESHOLDS).cache()
+    expected = {}
+    for pair in ("a ~ b", "c ~ d"):
+        learned = agent.train(agent.Environment.of(features, rewards, queries.THRESHOLDS, pair))
+        expected |= {(r.pair, r.cycle_id): r.param for r in agent.choose(features.where(F.col("pair") == pair), learned.net, queries.THRESHOLDS).collect()}
+    assert len(queries.THRESHOLDS) == 9 and {p for p, _ in got} == {"a ~ b", "c ~ d"} and got == expected
+
+
 def test_q_network_gradient():
     net, x = agent.Net(3, 2, 5, seed=1), np.random.default_rng(0).normal(size=(4, 3))
     error = np.ones((4, 2))
