@@ -1,4 +1,5 @@
-"""Autocorrelation, partial and cross correlation, Levinson-Durbin, Ljung-Box, variance breaks, Granger causality, ARMA orders."""
+"""Autocorrelation, partial and cross correlation, Levinson-Durbin, innovations, Ljung-Box, variance breaks, independence,
+Granger causality, ARMA orders."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ import math
 
 import numpy as np
 
-from driftloom.functions.special import chi2_sf, f_sf, normal_quantile
+from driftloom.functions.special import chi2_sf, f_sf, normal_cdf, normal_quantile
 from driftloom.functions.unitroot import least_squares, trend_terms
 
 
@@ -51,13 +52,13 @@ def acf(x: np.ndarray, *, adjusted: bool = False, lags: int | None = None, missi
 
 
 def acf_bounds(r: np.ndarray, n: int, alpha: float = 0.05, bartlett: bool = True) -> np.ndarray:
-    """Confidence bounds of autocorrelations; Bartlett's variance grows with the lags before."""
-    var = np.full(len(r), 1 / n)
-    var[0] = 0
-    if bartlett and len(r) > 2:
-        var[2:] *= 1 + 2 * np.cumsum(r[1:-1] ** 2)
-    half = normal_quantile(1 - alpha / 2) * np.sqrt(var)
-    return np.column_stack([r - half, r + half])
+    """Confidence bounds (low, high) of autocorrelations r[0], r[1], ...: r[0] is certain; by Bartlett's formula r[k] has the
+    variance (1 + 2 (r[1]^2 + ... + r[k-1]^2)) / n, without it 1 / n."""
+    r = np.asarray(r, dtype=float)
+    lag, squares = np.arange(len(r)), r**2
+    earlier = squares.cumsum() - squares - 1.0 if bartlett else np.zeros(len(r))  # r[0] is 1
+    deviation = np.sqrt(np.where(lag > 0, 1 + 2 * np.maximum(earlier, 0.0), 0.0) / n)
+    return r[:, None] + normal_quantile(1 - alpha / 2) * deviation[:, None] * np.array([-1.0, 1.0])
 
 
 def q_stat(r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +104,8 @@ def pacf(x: np.ndarray, lags: int | None = None, method: str = "ywadjusted") ->
     x = np.asarray(x, dtype=float)
     n = len(x)
     lags = max(1, min(int(10 * math.log10(n)), n // 2 - 1)) if lags is None else lags
-    if lags >= n // 2 and method != "burg":
-        raise ValueError("lags must be less than half of the series")
+    if lags > n // 2:
+        raise ValueError("at most half of the series can be lags")
     if method in ("yw", "ywm", "ywmle", "ywunadjusted", "ld", "ldb", "ldunadjusted"):
         return levinson_durbin(acovf(x, lags=lags), lags)[2]
     if method in ("ywadjusted", "ywadj", "lda", "ldadjusted"):
@@ -161,17 +162,58 @@ def variance_break(resid: np.ndarray, share: float | int = 1 / 3, alternative: s
     first, last = first[~np.isnan(first)], last[~np.isnan(last)]
     if len(first) < 2 or len(last) < 2:
         raise ValueError("too few values in a part")
-    a, b = float(last @ last), float(first @ first)
-    na, nb = len(last), len(first)
-    if alternative == "decreasing":
-        a, b, na, nb = b, a, nb, na
-    elif alternative not in ("two-sided", "increasing"):
+    ratio, na, nb = float(last @ last) / float(first @ first), len(last), len(first)
+    if alternative not in ("two-sided", "increasing", "decreasing"):
         raise ValueError("alternative must be two-sided, increasing or decreasing")
-    stat = a / b if use_f else nb * a / b
-    upper = f_sf(a / b, na, nb) if use_f else chi2_sf(stat, na)
+    stat = 1 / ratio if alternative == "decreasing" else ratio
+    upper = f_sf(stat, na, nb) if use_f else chi2_sf(na * stat, nb)
     return stat, 2 * min(upper, 1 - upper) if alternative == "two-sided" else upper
 
 
+def innovations(c: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(theta, variances) of the one-step predictors from autocovariances c[0], c[1], ... (taken as 0 beyond the last): the
+    prediction of value t is the sum of theta[t, j - 1] times the error at t - j.  The covariance matrix is L D L', so the
+    rows of L read backwards are theta and D holds the variances."""
+    whole = np.concatenate([np.asarray(c, dtype=float), np.zeros(max(0, steps - len(c)))])
+    at = np.arange(steps)
+    root = np.linalg.cholesky(whole[np.abs(at[:, None] - at[None, :])])
+    unit = root / np.diag(root)
+    theta = np.zeros((steps, max(steps - 1, 0)))
+    for t in range(1, steps):
+        theta[t, :t] = unit[t, :t][::-1]
+    return theta, np.diag(root) ** 2
+
+
+def innovations_filter(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """The one-step prediction errors of a series without mean by ``theta`` (see innovations)."""
+    errors = np.zeros(len(x))
+    for t, v in enumerate(np.asarray(x, dtype=float)):
+        own = theta[t, : min(t, theta.shape[1])]
+        errors[t] = v - own @ errors[t - len(own) : t][::-1]
+    return errors
+
+
+def bds(x: np.ndarray, most: int = 2, epsilon: float | None = None, distance: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
+    """(statistics, two-sided p-values) of the independence test of Brock, Dechert, Scheinkman and LeBaron (1996) for the
+    embedding dimensions 2 to ``most``.  Values are near within ``epsilon``, by default ``distance`` deviations.  Memory grows
+    with the square of the series."""
+    x = np.asarray(x, dtype=float)
+    n = len(x)
+    if not 2 <= most < n - 1:
+        raise ValueError("the dimension must lie between 2 and the length less 2")
+    near = np.abs(x[:, None] - x[None, :]) < (distance * x.std(ddof=1) if epsilon is None else epsilon)
+    pairs = lambda a: (a.sum() - len(a)) / (len(a) * (len(a) - 1))
+    c, degree = pairs(near), near.sum(axis=1)
+    k = (degree @ degree - 3 * near.sum() + 2 * n) / (n * (n - 1) * (n - 2))
+    out, run = [], near
+    for m in range(2, most + 1):
+        run = run[1:, 1:] & near[: n - m + 1, : n - m + 1]
+        powers = sum(k ** (m - j) * c ** (2 * j) for j in range(1, m))
+        variance = 4 * (k**m + 2 * powers + (m - 1) ** 2 * c ** (2 * m) - m**2 * k * c ** (2 * m - 2))
+        out.append(math.sqrt(n - m + 1) * (pairs(run) - pairs(near[m - 1 :, m - 1 :]) ** m) / math.sqrt(variance))
+    return np.array(out), np.array([2 * normal_cdf(-abs(v)) for v in out])
+
+
 def granger(x: np.ndarray, most: int, constant: bool = True) -> dict[int, dict[str, tuple[float, float]]]:
     """For each lag to ``most``: does the second column help to predict the first?  (statistic, p-value) of ssr_f, ssr_chi2,
     lr and params_f."""

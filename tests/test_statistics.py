@@ -145,5 +145,73 @@ def test_variance_break_and_granger():
     assert T.granger(np.column_stack([y, x]), 2)[1]["ssr_f"][1] < 1e-6 < T.granger(np.column_stack([x, y]), 2)[1]["ssr_f"][1]
 
 
+def test_variance_break_with_gaps():
+    """The ratio in both forms; degrees of freedom keep their places when the ratio is turned round."""
+    x = np.random.default_rng(3).normal(size=90)
+    x[[2, 5, 88]] = np.nan
+    first, last = x[:30][~np.isnan(x[:30])], x[60:][~np.isnan(x[60:])]
+    ratio = (last @ last) / (first @ first)
+    assert T.variance_break(x, alternative="increasing") == pytest.approx((ratio, S.f_sf(ratio, 29, 28)))
+    assert T.variance_break(x, alternative="decreasing") == pytest.approx((1 / ratio, S.f_sf(1 / ratio, 29, 28)))
+    assert T.variance_break(x, alternative="increasing", use_f=False) == pytest.approx((ratio, S.chi2_sf(29 * ratio, 28)))
+
+
+def test_bounds_and_bandwidth():
+    x = ar(16, 300, 0.5)
+    r = T.acf(x, lags=6)
+    low, high = T.acf_bounds(r, 300).T
+    assert low[0] == high[0] == 1
+    for k in range(1, 7):
+        half = 1.959963984540054 * math.sqrt((1 + 2 * sum(r[j] ** 2 for j in range(1, k))) / 300)
+        assert (low[k], high[k]) == pytest.approx((r[k] - half, r[k] + half))
+    assert np.ptp(T.acf_bounds(r, 300, bartlett=False)[1:] - r[1:, None], axis=0) == pytest.approx([0, 0])
+    e = x - x.mean()
+    cover = int(300 ** (2 / 9))
+    gamma = {k: e[abs(k) :] @ e[: 300 - abs(k)] for k in range(-cover, cover + 1)}
+    s0, s1 = sum(gamma.values()), sum(abs(k) * g for k, g in gamma.items())
+    assert U.kpss_lags(e) == int(1.1447 * (s1 / s0) ** (2 / 3) * 300 ** (1 / 3))
+
+
+def test_tables_agree():
+    """At the published critical values of long series the published p-values are 1, 5 and 10 percent, nearly."""
+    for series, trend in U.CRITICAL:
+        for level, c in zip((0.01, 0.05, 0.10), U.mackinnon_critical(trend, series, 1e9), strict=True):
+            assert U.mackinnon_p(c, trend, series) == pytest.approx(level, rel=0.08)
+    assert all(math.isnan(c) for c in U.mackinnon_critical("n", 2, 100))
+    with pytest.raises(ValueError):
+        U.mackinnon_p(-3.0, "c", 3)
+
+
+def test_lags_to_half():
+    assert len(T.pacf(ar(17, 40, 0.3), 20, "yw")) == 21
+    with pytest.raises(ValueError):
+        T.pacf(ar(17, 40, 0.3), 21, "burg")
+
+
+def test_innovations():
+    c = np.array([1.25, 0.5])  # a moving average with factor 0.5
+    theta, variance = T.innovations(c, 60)
+    assert theta[1, 0] == pytest.approx(0.4) and variance[0] == pytest.approx(1.25) and variance[-1] == pytest.approx(1) and theta[-1, 0] == pytest.approx(0.5)
+    rng = np.random.default_rng(18)
+    e = rng.normal(size=61)
+    x = e[1:] + 0.5 * e[:-1]
+    errors = T.innovations_filter(x, theta)
+    whole = np.array([[c[abs(i - j)] if abs(i - j) < 2 else 0 for j in range(60)] for i in range(60)])
+    assert (errors**2 / variance).sum() == pytest.approx(x @ np.linalg.solve(whole, x))
+
+
+def test_bds():
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=300)
+    stat, p = T.bds(x, 3)
+    assert (p > 0.01).all()
+    eps, n = 1.5 * x.std(ddof=1), 300
+    near = [[abs(a - b) < eps for b in x] for a in x]
+    c2 = sum(near[i][j] and near[i + 1][j + 1] for i in range(n - 1) for j in range(i + 1, n - 1)) / ((n - 1) * (n - 2) / 2)
+    c1 = sum(near[i][j] for i in range(1, n) for j in range(i + 1, n)) / ((n - 1) * (n - 2) / 2)
+    assert math.copysign(1, c2 - c1**2) == math.copysign(1, stat[0])
+    assert (T.bds(ar(20, 300, 0.8), 3)[1] < 1e-6).all()
+
+
 def test_arma_order():
     assert T.arma_order(ar(15, 2000, 0.7), 3, 2)[0] == (1, 0)
