@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,15 +24,51 @@ def fold_column(id_col: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def unused(columns: list[str], stem: str) -> str:
+    """A prefix that begins no column's name, in either case."""
+    while any(c.lower().startswith(stem) for c in columns):
+        stem = "_" + stem
+    return stem
+
+
+def quoted(name: str):
+    """A column by its whole name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 @lru_cache(maxsize=1)
 def own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="driftloom-")
 
 
+OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, every table that operators wrote inside it: write or collect their results inside, too."""
+    paths: list[str] = []
+    token = OPEN.set(paths)
+    try:
+        yield
+    finally:
+        OPEN.reset(token)
+        for path in paths:
+            delete_dir(spark, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor sees; a temp folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or own_dir()
-    return f"{base.rstrip('/')}/driftloom/{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, which every executor sees; where that is unset, a temp folder if all runs on
+    this machine, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = own_dir()
+    path = f"{base.rstrip('/')}/driftloom/{uuid.uuid4().hex}"
+    if (paths := OPEN.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def delete_dir(spark: SparkSession, path: str) -> None:
@@ -82,3 +120,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 8
                 start, total = i, 0
             total += s
         yield b.slice(start)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in ``n`` how many of ``rows`` hold it (at most).  Keys
+    of more than ``most`` rows, of which there are at most sum(n) / most, are broadcast, so none of them fills one task; the
+    others meet in a shuffle.  ``rows`` is read twice: pass a table."""
+    hot, cold = table.where(F.col("n") > most).drop("n"), table.where(F.col("n") <= most).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

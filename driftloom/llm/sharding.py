@@ -1,14 +1,16 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix (DataFrame functions only).
 
 1. Rows get a block (a logical source partition) by a hash of their row number.
-2. Blocks are counted; the number of rows that each block sends to each shard is drawn from the exact multivariate
+2. Blocks are counted; the number of rows that each block sends to each shard is drawn from the multivariate
    hypergeometric law, by halving the list of blocks again and again (at most MAX_BLOCKS x shards numbers, on the driver).
+   Draws among fewer than 10^9 rows are exact; among more, the law is inverted in floating point within 40 deviations.
 3. Each block permutes its rows (order of a keyed hash) and deals them by the drawn counts.
 4. The exchange goes by shard and a random sub-bucket; each (shard, bucket) permutes again, and bucket offsets make slots
    gapless.  Sub-buckets keep a task's rows bounded however few shards there are.
 
 The row number needs one fixed order, so the rows are first written to the shared folder: pass narrow rows.
-Defined cases: equal rows and null values are dealt as rows of their own; an empty table gives no rows.
+Defined cases: equal rows and null values are dealt as rows of their own; an empty table gives no rows; extra columns keep
+their values whatever their names, but columns named shard or slot, in either case, give way to the result's.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import written
+from driftloom.llm.common import quoted, unused, written
 
 MAX_BLOCKS = 65536
 BUCKET_ROWS = 500_000
@@ -63,37 +65,38 @@ def communication_matrix(rows: list[int], columns: list[int], seed: int) -> np.n
 
 
 def shard_rows(df: DataFrame, shards: int, *, seed: int = 17, blocks: int | None = None) -> DataFrame:
-    """``df`` with shard (int) and slot (long): counts of shards differ by one at most, and every order is equally likely.
-    Column names that this adds are made unique first, so extra columns may have any name but shard and slot."""
+    """``df`` with shard (int) and slot (long): counts of shards differ by one at most, and every order is equally likely."""
     spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, min(MAX_BLOCKS, blocks or partitions))
-    tag = "__dl_"
-    base = written(df.withColumn(f"{tag}row", F.monotonically_increasing_id()))
-    base = base.withColumn(f"{tag}block", F.pmod(F.xxhash64(f"{tag}row", F.lit(seed)), F.lit(blocks)).cast("int"))
-    found = {r[0]: r[1] for r in base.groupBy(f"{tag}block").count().collect()}  # at most MAX_BLOCKS rows
-    names, total = sorted(found), sum(found.values())
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    tag = unused(kept, "__dl_")
+    row, block, rank, ends, bucket, n, first = (tag + x for x in ("row", "block", "rank", "ends", "bucket", "n", "first"))
+    base = written(df.select(*map(quoted, kept), F.monotonically_increasing_id().alias(row)))
+    total, partitions = base.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, min(MAX_BLOCKS, blocks or max(partitions, -(-total // BUCKET_ROWS))))
+    base = base.withColumn(block, F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(blocks)).cast("int"))
+    found = {r[0]: r[1] for r in base.groupBy(block).count().collect()}  # at most MAX_BLOCKS rows
+    names = sorted(found)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
-    matrix = communication_matrix([found[n] for n in names], sizes, seed) if names else np.zeros((0, shards), np.int64)
-    ends = spark.createDataFrame([(n, [int(x) for x in np.cumsum(m)]) for n, m in zip(names, matrix, strict=True)], f"{tag}block int, {tag}ends array<long>")
+    matrix = communication_matrix([found[b] for b in names], sizes, seed) if names else np.zeros((0, shards), np.int64)
+    drawn = spark.createDataFrame([(b, [int(x) for x in np.cumsum(m)]) for b, m in zip(names, matrix, strict=True)], f"{block} int, {ends} array<long>")
     buckets = max(-(-partitions // shards), -(-total // (shards * BUCKET_ROWS)), 1)
 
-    rank = F.row_number().over(Window.partitionBy(f"{tag}block").orderBy(F.xxhash64(f"{tag}row", F.lit(seed + 1)), f"{tag}row"))
-    key = F.xxhash64(f"{tag}row", F.lit(seed + 2))
+    within = F.row_number().over(Window.partitionBy(block).orderBy(F.xxhash64(row, F.lit(seed + 1)), row))
+    key = F.xxhash64(row, F.lit(seed + 2))
     sent = (
-        base.withColumn(f"{tag}rank", rank)
-        .join(F.broadcast(ends), f"{tag}block")  # at most MAX_BLOCKS x shards numbers
-        .withColumn("shard", F.size(F.filter(f"{tag}ends", lambda e: e < F.col(f"{tag}rank"))).cast("int"))
-        .withColumn(f"{tag}bucket", F.pmod(F.shiftrightunsigned(key, 20), F.lit(buckets)).cast("int"))
-        .drop(f"{tag}ends", f"{tag}rank", f"{tag}block")
+        base.withColumn(rank, within)
+        .join(F.broadcast(drawn), block)  # at most MAX_BLOCKS x shards numbers
+        .withColumn("shard", F.size(F.filter(ends, lambda e: e < F.col(rank))).cast("int"))
+        .withColumn(bucket, F.pmod(F.shiftrightunsigned(key, 20), F.lit(buckets)).cast("int"))
+        .drop(ends, rank, block)
     )
     sent = written(sent)
-    counts = sent.groupBy("shard", f"{tag}bucket").agg(F.count("*").alias(f"{tag}n"))
-    before = Window.partitionBy("shard").orderBy(f"{tag}bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", f"{tag}bucket", F.coalesce(F.sum(f"{tag}n").over(before), F.lit(0)).alias(f"{tag}first"))
-    place = F.row_number().over(Window.partitionBy("shard", f"{tag}bucket").orderBy(F.xxhash64(f"{tag}row", F.lit(seed + 3)), f"{tag}row"))
+    counts = sent.groupBy("shard", bucket).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    place = F.row_number().over(Window.partitionBy("shard", bucket).orderBy(F.xxhash64(row, F.lit(seed + 3)), row))
     return (
-        sent.join(offsets, ["shard", f"{tag}bucket"])
-        .withColumn("slot", (F.col(f"{tag}first") + place - 1).cast("long"))
-        .select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
+        sent.join(offsets, ["shard", bucket])
+        .withColumn("slot", (F.col(first) + place - 1).cast("long"))
+        .select(*map(quoted, kept), "shard", "slot")
     )

@@ -28,6 +28,28 @@ def test_empty_and_clashing_names(spark):
     assert out.columns == ["row", "block", "bucket", "first", "shard", "slot"] and out.count() == 7
 
 
+def test_names_of_its_own(spark):
+    """Columns that bear the names this uses come back with their values."""
+    names = ["__dl_row", "__DL_block", "___dl_rank", "__dl_ends", "__dl_bucket", "a.b", "id", "Slot"]
+    df = spark.createDataFrame([tuple(f"{n}{i}" for n in names) for i in range(100)], names)
+    out = shard_rows(df, 7)
+    assert out.columns == [*names[:-1], "shard", "slot"]
+    assert sorted(tuple(r)[:-2] for r in out.collect()) == sorted(tuple(r)[:-1] for r in df.collect())
+
+
+def test_scratch_leaves_nothing(spark):
+    import os
+    import urllib.parse
+
+    from driftloom.llm.common import OPEN, scratch
+
+    with scratch(spark):
+        assert shard_rows(spark.range(50), 3).count() == 50
+        paths = [urllib.parse.urlparse(p).path for p in OPEN.get()]
+        assert paths and all(os.path.isdir(p) for p in paths)
+    assert not any(os.path.exists(p) for p in paths)
+
+
 def test_matrix_sums_and_law():
     rows, cols = [5, 0, 7, 3], [4, 4, 4, 3]
     seen = Counter()
