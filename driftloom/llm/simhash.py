@@ -1,15 +1,16 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
 Fingerprints: 64 bits, a bit being set if it is set in over half of the XXH64 values of the text's word shingles.
-Candidates: the 64 bits are cut into ``segments`` (5 by default).  Of 4 errors at most 4 segments are touched, so
-segments - 4 of them are free of error (every choice is tried); the bits of the other segments are cut into two halves of
-at most 23 bits, of which one has at most 2 errors, and its fuzzy Golay keys meet.  A key is (choice, half, error-free
-bits, codeword index): 25 bits with 5 segments, 32 with 6, so more segments suit more documents; both are exact.
+Candidates: the 64 bits are cut into ``segments``.  Of 4 errors at most 4 segments are touched, so segments - 4 of them are
+free of error (every choice is tried); the bits of the other segments are cut into two halves of at most 23 bits, of which
+one has at most 2 errors, and its fuzzy Golay keys meet.  A key is (choice, half, error-free bits, codeword index): 25 bits
+with 5 segments, 32 with 6, 39 with 7.  The number of distinct fingerprints sets the number of segments; all are exact.
 Verification: fingerprints of one key are compared by Hamming distance; only a spanning forest of the links goes on, so
 output is linear in the group's size.  A key with more than ``block_rows`` distinct fingerprints is cut into blocks that
 are compared pair by pair in separate tasks.  Components: alternating large-star and small-star rounds over written tables.
 
-Copies meet first: all steps but the first and last run over distinct fingerprints.  Nothing is collected.
+Copies meet first: all steps but the first and last run over distinct fingerprints.  Nothing is collected.  Joins on
+fingerprints, nodes and roots broadcast the keys that hold over a thousandth of the rows, of which there are a thousand at most.
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle are
 one shingle; equal rows fall in one component; a component's id is the smallest non-null id in it; an empty table gives
 no rows; columns other than the two named are not read.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from driftloom.llm.common import bytes_of, column_of, dropped, slices, written
+from driftloom.llm.common import bytes_of, column_of, dropped, join_hot, quoted, slices, unused, written
 from driftloom.llm.golay import BITS, fuzzy_keys
 
 MAX_BITS = 4
@@ -54,8 +55,9 @@ def fingerprint(raw: bytes, shingle: int) -> int:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """A 64-bit key of a row's id and text."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """A 128-bit key of a row's id and text; null differs from empty."""
+    whole = F.concat_ws("\0", F.coalesce(quoted(id_col).cast("string"), F.lit("null")), F.when(quoted(text_col).isNull(), "n").otherwise("t"), quoted(text_col))
+    return F.unhex(F.md5(whole.cast("binary")))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -66,8 +68,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fp = np.fromiter((fingerprint(x, shingle) for x in bytes_of(b)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([column_of(b, "id"), column_of(b, "key"), pa.array(fp.view(np.int64))], names=["id", "key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, key long, fp long")
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), quoted(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, key binary, fp long")
 
 
 def layout(segments: int) -> list[tuple[list[int], list[int], list[int]]]:
@@ -151,9 +153,11 @@ def group_links(key: np.ndarray, fp: np.ndarray, small: int = 24) -> tuple[np.nd
     return pairs[0], pairs[1]
 
 
-def link_rows(batches: Iterator[pa.RecordBatch], block_rows: int, chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key -> links (a, b, kind 0); a key of over ``block_rows`` rows passes through (key, fp, kind 1)."""
-    held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def link_rows(batches: Iterator[pa.RecordBatch], block_rows: int | None, chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by key -> links (a, b, kind 0); a key of over ``block_rows`` rows passes through (key, fp, kind 1),
+    or is worked on whole if that is None.  About ``chunk`` rows or one key's are held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, most = 0, chunk if block_rows is None else max(chunk, block_rows)
     over: int | None = None
 
     def rows(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -174,34 +178,45 @@ def link_rows(batches: Iterator[pa.RecordBatch], block_rows: int, chunk: int = 1
                 k, f = k[same:], f[same:]
             if len(k):
                 over = None
-        held_k, held_f = np.concatenate([held_k, k]), np.concatenate([held_f, f])
-        if len(held_k) < max(chunk, block_rows):
+        held.append((k, f))
+        size += len(k)
+        if size < most:
             continue
-        last = int(np.searchsorted(held_k, held_k[-1], side="left"))
-        yield from work_bounded(held_k[:last], held_f[:last], block_rows, rows, work)
-        held_k, held_f = held_k[last:], held_f[last:]
-        if len(held_k) > block_rows:
-            over = int(held_k[0])
-            yield rows(held_k, held_f, 1)
-            held_k, held_f = held_k[:0], held_f[:0]
-    yield from work_bounded(held_k, held_f, block_rows, rows, work)
-
-
-def work_bounded(k: np.ndarray, f: np.ndarray, block_rows: int, rows, work) -> Iterator[pa.RecordBatch]:
+        k, f = (np.concatenate(x) for x in zip(*held, strict=True))
+        last = int(np.searchsorted(k, k[-1], side="left"))
+        yield from work_bounded(k[:last], f[:last], block_rows, rows, work)
+        held, size = [(k[last:], f[last:])], len(k) - last
+        if block_rows is not None and size > block_rows:
+            over = int(k[-1])
+            yield rows(k[last:], f[last:], 1)
+            held, size = [], 0
+        most = max(most, 2 * size) if block_rows is None else most  # one long key is not joined to itself again and again
+    if held:
+        yield from work_bounded(*(np.concatenate(x) for x in zip(*held, strict=True)), block_rows, rows, work)
+
+
+def work_bounded(k: np.ndarray, f: np.ndarray, block_rows: int | None, rows, work) -> Iterator[pa.RecordBatch]:
     """Large runs of a key go out as they are, the others are worked on."""
     if not len(k):
         return
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     sizes = np.diff(np.append(starts, len(k)))
-    large = np.repeat(sizes > block_rows, sizes)
+    large = np.repeat(sizes > (block_rows or len(k)), sizes)
     if large.any():
         yield rows(k[large], f[large], 1)
         k, f = k[~large], f[~large]
     yield from work(k, f)
 
 
-def links(distinct: DataFrame, *, segments: int = 5, block_rows: int = 20_000) -> DataFrame:
+def segments_for(fingerprints: int) -> int:
+    """So many that random fingerprints share a key in tens: a key of 5, 6, 7 segments has 25, 32, 39 bits, and a fingerprint
+    about five keys for each choice and half."""
+    return 5 if fingerprints < 1 << 27 else 6 if fingerprints < 1 << 34 else 7
+
+
+def links(distinct: DataFrame, *, segments: int | None = None, block_rows: int = 20_000) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all pairs at MAX_BITS or fewer bits."""
+    segments = segments or segments_for(distinct.count())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,27 +245,29 @@ def links(distinct: DataFrame, *, segments: int = 5, block_rows: int = 20_000) -
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return link_rows(batches, 1 << 62)
+        return link_rows(batches, None)
 
     return direct.unionByName(written(pairs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, kinds)).select("a", "b"))
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.  Large-star and small-star rounds
-    (Kiveris et al. 2014) over written tables, until a round changes nothing."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b) but the roots: root is the smallest node reachable.  Large-star and small-star rounds
+    (Kiveris et al. 2014) over written tables, until a round changes nothing; their number grows with the logarithm of the
+    longest path."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     before = mark(now)
-    for _ in range(rounds):
+    while before[0]:
+        most = before[0] // 1000 + 100
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both.where("b > a"), least, "a", most).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.where("a <> b").distinct())
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(small_least, "a")
+        small_least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = join_hot(large, small_least, "a", most)
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b")))
         new = written(small.distinct())
         dropped(large)
@@ -259,17 +276,29 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def least_of_groups(distinct: DataFrame, roots: DataFrame | None, node: str) -> DataFrame:
+    """(node, component_id, n) for the rows (node, least, n) of ``distinct``: the least of ``least`` over a node's group.  Nodes
+    that are not in ``roots`` are groups of their own."""
+    alone = distinct.select(node, F.col("least").alias("component_id"), "n")
+    if roots is None:
+        return alone
+    roots = roots.withColumnRenamed("node", node).unionByName(roots.select(F.col("root").alias(node), "root").distinct())
+    members = written(distinct.join(roots, node))
+    named = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")).withColumnRenamed("m", "n")
+    grouped = join_hot(members.withColumnRenamed("n", "rows"), named, "root", members.count() // 1000 + 100)
+    return alone.join(members.select(node), node, "left_anti").unionByName(grouped.select(node, "component_id", F.col("rows").alias("n")))
+
+
 def named_rows(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component in ``found`` (id, key, component_id) the row whose id names it (a component of null ids keeps its rows
     of different texts), rows that repeat id and text once.  The texts are shuffled once, by row_key."""
-    kept = written(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__dl_key")).distinct())
-    keyed = docs.withColumn("__dl_key", row_key(id_col, text_col)).dropDuplicates(["__dl_key"])
-    return keyed.join(kept, "__dl_key", "left_semi").select(*docs.columns)
+    own = unused(docs.columns, "__dl_") + "key"
+    kept = written(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias(own)).distinct())
+    keyed = docs.withColumn(own, row_key(id_col, text_col)).dropDuplicates([own])
+    return keyed.join(kept, own, "left_semi").drop(own)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -277,11 +306,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return named_rows(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col=id_col, text_col=text_col)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, segments: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, segments: int | None = None) -> DataFrame:
     """id, key, fp (signed long), component_id: one row per document."""
     marks = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    distinct = written(marks.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct, segments=segments))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("id", "key", "fp", "component_id")
+    distinct = written(marks.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    named = written(least_of_groups(distinct, components(links(distinct, segments=segments)), "fp"))
+    return join_hot(marks, named, "fp", marks.count() // 1000 + 100).select("id", "key", "fp", "component_id")

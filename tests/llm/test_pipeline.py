@@ -2,7 +2,7 @@ from collections import Counter
 
 import corpus_pipeline
 from driftloom.llm.simhash import one_of_each
-from test_simhash import brute_components, brute_fingerprint
+from test_neardup import first_of_each
 from test_packing import check
 from test_filters import brute_counts
 from driftloom.llm import cascade
@@ -17,9 +17,8 @@ def test_stages_against_brute_force(spark, tables, rows):
     assert quality.columns == columns and Counter(tuple(r) for r in quality.collect()) == Counter(expected)
     assert all(brute_counts(r[1])[0] >= 50 for r in expected)
 
-    marks = [(r[0], brute_fingerprint(r[1])) for r in expected]
-    groups = brute_components(marks)
-    once = {r for r, m in zip(expected, marks, strict=True) if groups[m] == r[0]}
+    names = first_of_each(expected)
+    once = {r for r in expected if r[0] in names}
     dedup = corpus_pipeline.near_dedup(spark, spark.createDataFrame(expected, docs.schema), tables)
     assert dedup.columns == columns and Counter(tuple(r) for r in dedup.collect()) == Counter(once)
 

@@ -106,6 +106,51 @@ def test_links_connect_all(spark):
         assert len(groups) == len(set(expected.values()))
 
 
+def test_memory_of_whole_keys():
+    """Keys are worked on as they end: no more than a chunk and a key are held, and each row is copied a few times."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 4000, 200_000))
+    fp = rng.integers(0, 1 << 60, 200_000, dtype=np.uint64)
+    read = []
+
+    def batches():
+        for i in range(0, 200_000, 1000):
+            read.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 1000]), pa.array(fp[i : i + 1000].view(np.int64))], names=["key", "fp"])
+
+    def marked(it):
+        for _ in it:
+            yield len(read)
+
+    planted = np.flatnonzero(key[1:] == key[:-1])[::50]
+    fp[planted + 1] = fp[planted] ^ np.uint64(5)
+    at = list(marked(simhash.link_rows(batches(), None, chunk=5000)))
+    assert at[0] <= 6 and len(at) > 30
+    got = {tuple(sorted(p)) for b in simhash.link_rows(batches(), None, chunk=5000) for p in zip(*(b.column(i).to_numpy().view(np.uint64).tolist() for i in (0, 1)), strict=True)}
+    assert {tuple(sorted((int(fp[i]), int(fp[i + 1])))) for i in planted if (int(fp[i]) ^ int(fp[i + 1])).bit_count() <= 4} <= got
+
+
+def test_segments_grow():
+    assert [simhash.segments_for(n) for n in (10, 10**8, 10**9, 10**11)] == [5, 5, 6, 7]
+
+
+def test_hot_hub(spark):
+    """A node with most of the edges is a hot key of every join."""
+    hub, n = 5000, 12000
+    edges = [(hub, i) for i in range(n) if i != hub] + [(n + 1, n + 2), (n + 2, n + 3), (n + 5, n + 4)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, n)} | {n + 2: n + 1, n + 3: n + 1, n + 5: n + 4}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_columns_with_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, "x"), (1, "a b c", 5, "x"), (2, "d e f", 7, "y")], "doc_id long, text string, __dl_key int, `key.fp` string")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, "a b c", 5, "x"), (2, "d e f", 7, "y")]
+
+
 def test_forest_is_linear():
     x = np.uint64(0x123456789ABCDEF)
     near = np.unique(np.array([x ^ np.uint64(1 << a) ^ np.uint64(1 << b) for a in range(64) for b in range(a)]))
