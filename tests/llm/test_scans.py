@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -100,6 +101,95 @@ def test_random_tokens_are_found_and_words_left(spark):
     assert found >= 0.9 * keys and false <= 0.05 * keys
 
 
+def plain_statistic(token, letters):
+    """The three tests and Fisher's sum by their formulas, one number at a time."""
+    x, n, k = [letters.index(c) for c in token], len(token), len(letters)
+    counts = [x.count(i) for i in range(k)]
+    chi2 = sum((c - n / k) ** 2 / (n / k) for c in counts)
+    z1 = (chi2 - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = [v >= k / 2 for v in x]
+    n1 = sum(high)
+    n0, z2, z3 = n - n1, 9.0, 9.0
+    if n1 and n0:
+        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+        mean = 1 + 2 * n1 * n0 / n
+        z2 = abs(runs - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+    m = sum(x) / n
+    spread = sum((v - m) ** 2 for v in x)
+    if spread:
+        z3 = abs(sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / spread + 1 / n) * math.sqrt(n)
+    p = [max(1e-30, math.erfc(z1 / math.sqrt(2)) / 2), *(min(1.0, 2 * max(1e-30, math.erfc(z / math.sqrt(2)) / 2)) for z in (z2, z3))]
+    return -2 * sum(map(math.log, p))
+
+
+def tokens_to_test():
+    rng = random.Random(4)
+    out = []
+    for letters, _ in secret_scan.ENCODINGS.values():
+        for n in (16, 23, 31, 64, 200):
+            out += ["".join(rng.choice(letters) for _ in range(n)), "".join(sorted(rng.choice(letters) for _ in range(n))), letters[0] * (n - 1) + letters[-1], (letters[:3] * n)[:n]]
+    return out
+
+
+def test_battery_against_formulas(spark):
+    rows = secret_scan.battery(spark.createDataFrame([(t,) for t in tokens_to_test()], "token string")).select("token", "encoding", "statistic", "cell").collect()
+    names = list(secret_scan.ENCODINGS)
+    for r in rows:
+        fits = [e for e, (letters, _) in secret_scan.ENCODINGS.items() if set(r.token) <= set(letters)]
+        assert r.encoding == min(fits, key=lambda e: (len(secret_scan.ENCODINGS[e][0]), names.index(e)))
+        letters = secret_scan.ENCODINGS[r.encoding][0]
+        expected = plain_statistic(r.token, letters)
+        assert r.statistic == pytest.approx(expected, rel=1e-3, abs=1e-3) or min(r.statistic, expected) > 30  # the tail is approximate
+        assert r.cell == names.index(r.encoding) * 6 + sum(len(r.token) >= c for c in secret_scan.CLASSES) - 1
+        again = secret_scan.statistics(__import__("numpy").array([[letters.index(c) for c in r.token]]), len(letters))[0]
+        assert again == pytest.approx(r.statistic, rel=1e-6, abs=1e-6)
+
+
+def test_cuts_against_counting(spark):
+    """The largest bin at which the expected ordinary tokens are at most the rate's share of what is found."""
+    rng = random.Random(5)
+    found = [(i, c, min(400, int(rng.expovariate(1 / (6 if rng.random() < 0.5 else 60)) * 4))) for c in (3, 27, 50) for i in range(60)]
+    ordinary = [(c, min(400, int(rng.gauss(70, 20) * 4))) for c in (3, 27) for _ in range(900)]
+    got = secret_scan.cuts(spark.createDataFrame(found, "own long, cell int, bin int"), spark.createDataFrame(ordinary, "cell int, bin int"), 0.05)
+    for cell in (3, 27, 50):
+        own, null, best = [b for _, c, b in found if c == cell], [b for c, b in ordinary if c == cell], None
+        for b in sorted({x for x in own + null if x < secret_scan.RANDOM * 4}):
+            share = (1 + sum(x <= b for x in null) + secret_scan.PRIOR * secret_scan.model()[cell][b]) / (1 + len(null) + secret_scan.PRIOR)
+            if share * len(own) <= 0.05 * sum(x <= b for x in own) and any(x <= b for x in own):
+                best = (b + 1) / 4
+        assert got.get(cell) == best
+    assert got
+
+
+def random_spans(spark, texts):
+    out = secret_scan.digest(secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    return {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")] for r in out}
+
+
+def test_compound_and_single_case_tokens(spark):
+    """Keys inside paths and compounds are found like keys that stand alone, and in a table of any size."""
+    rng = random.Random(6)
+    key = lambda n, letters=string.ascii_letters + string.digits: "".join(rng.choice(letters) for _ in range(n))
+    made = [key(44) for _ in range(60)]
+    texts = [f"see /user-files/{k}/x_y" if i % 3 == 0 else f"prefix-a_b+{k} there" if i % 3 == 1 else f"plain {k} here" for i, k in enumerate(made)]
+    got = random_spans(spark, texts + ["words_of-a/path+only-with_ordinary/parts and nothing else"] * 20)
+    hits = [any(texts[i][a:b] == k for a, b in got[i]) for i, k in enumerate(made)]
+    assert all(sum(hits[j::3]) >= 18 for j in range(3)) and not any(got[i] for i in range(60, 80))
+    upper = ["code " + key(64, string.ascii_uppercase) for _ in range(4)]
+    few = random_spans(spark, [f"one {made[0]} only", *upper])
+    assert few[0] and sum(bool(few[i]) for i in range(1, 5)) >= 3
+
+
+def test_long_tokens(spark):
+    """Tokens as long as their texts: no crash, and a random one is found nearly whole."""
+    rng = random.Random(7)
+    letters = string.ascii_letters + string.digits + "+/"
+    texts = ["ab-" * 1500, "ab-" * 350_000, "aB3/" * 2600, "x " + "".join(rng.choices(letters, k=30_000)), "token=" + "a" * 1_000_000, "0123456789abcdef " * 3000, "Word" * 5_000_000]
+    got = random_spans(spark, texts)
+    assert not any(got[i] for i in (0, 1, 2, 4, 5, 6))
+    assert sum(b - a for a, b in got[3]) > 28_000 and all(2 <= a < b <= 30_002 for a, b in got[3])
+
+
 def revealing_rows():
     rng = random.Random(3)
     fill = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
