@@ -95,7 +95,7 @@ def test_copies_and_edits_are_found(spark):
             truth.add((i, item))
         rows.append((i, " ".join(words)))
     rows += [(1000, None), (1001, ""), (1002, items[0][1] + " " + items[0][1]), (1002, items[0][1] + " " + items[0][1])]
-    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (77, None), (78, " "), (79, "the")], "item_id long, text string")
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (77, None), (78, " ")], "item_id long, text string")
     out = decontam.contaminated(df, bench).collect()
     found = {(r.doc_id, r.item_id) for r in out}
     assert truth <= found and {d for d, _ in found} - {d for d, _ in truth} == {1002}
@@ -114,7 +114,7 @@ def test_against_every_pair(spark, tables):
     expected = set()
     for b in bench:
         item = re.findall(r"\w+", (b.text or "").lower())
-        if len(item) < decontam.SHORTEST:
+        if not item:
             continue
         number = {w: i for i, w in enumerate(dict.fromkeys(item))}
         own = np.array([number[w] for w in item])
@@ -125,6 +125,28 @@ def test_against_every_pair(spark, tables):
     assert {(r.doc_id, r.item_id) for r in op5_decontamination(spark, tables).collect()} == expected and expected
 
 
+def test_neighbouring_copies(spark):
+    """Every copy gives a row, whatever lies between them."""
+    item = [f"w{j}" for j in range(12)]
+    one, other = " ".join(item), " ".join(f"f{j}" for j in range(60))
+    texts = [one, f"{one} {one}", f"{one} x {one} y {one}", f"{one} {other} {one}", " ".join([one] * 7), " ".join(item[:4] + item[4:] + item[:7] + ["z"] * 2 + item[9:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontam.contaminated(docs, spark.createDataFrame([(1, one)], "item_id long, text string")).collect()
+    assert [sum(r.doc_id == i for r in rows) for i in range(6)] == [1, 2, 3, 2, 7, 2]
+    for i in range(6):
+        own = sorted((r.start, r.end) for r in rows if r.doc_id == i)
+        assert all(b <= c for (_, b), (c, _) in zip(own, own[1:]))
+
+
+def test_short_items(spark):
+    """No item is left out; short ones count when whole."""
+    items = [(1, "the"), (2, "rare words"), (3, "one two three four"), (4, "a b c d e f g h")]
+    texts = [(1, "in the end"), (2, "rare old words"), (3, "some Rare words."), (4, "one two three four"), (5, "one two four"), (6, "a b c d e f g h"), (7, "a b c x e f g h")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == {(1, 1), (3, 2), (4, 3), (6, 4)}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench, shortest=5).collect()} == {(6, 4)}
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(empty, bench).count() == 0
@@ -132,7 +154,8 @@ def test_empty_tables(spark, empty):
 
 
 def test_copies_edited_every_few_words(spark):
-    """Substitutions every 3 to 6 words and insertions after every one to 4 words are found wherever they reach the threshold."""
+    """Substitutions every 3 to 6 words and insertions after every one to 4 words are found wherever they reach the threshold, and
+    so are random edits of a tenth to a third of the words: recall is 1 at every share."""
     rng, items, texts, expected = random.Random(21), [], [], set()
     for k in range(60):
         item = [f"w{k}x{j}" if j % 3 else rng.choice(["the", "of", "and", "in"]) for j in range(20 + k % 21)]
@@ -143,6 +166,12 @@ def test_copies_edited_every_few_words(spark):
             if decontam.align(np.array([number[w] for w in item]), np.array([number[w] for w in copy]))[0] >= decontam.needed(len(item), 0.5, 8):
                 expected.add((len(texts), k))
             texts.append((len(texts), " ".join(["before"] * 30 + copy + ["after"] * 30)))
+        for share in (0.1, 0.2, 0.25, 0.33):
+            copy = [f"new{j}" if rng.random() < share else w for j, w in enumerate(item)]
+            number = {w: i for i, w in enumerate(dict.fromkeys(item + copy))}
+            if decontam.align(np.array([number[w] for w in item]), np.array([number[w] for w in copy]))[0] >= decontam.needed(len(item), 0.5, 8):
+                expected.add((len(texts), k))
+            texts.append((len(texts), " ".join(["before"] * 30 + copy + ["after"] * 30)))
     assert len(expected) > 300
     docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == expected
