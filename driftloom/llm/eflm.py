@@ -15,7 +15,8 @@ A level is cut into shards by key, so that each holds about ``shard_tokens`` tok
 children's ids.  Every pass over the texts counts in each task and sends each shard one Elias-Fano coded block, so a shuffle
 moves a few bytes for each distinct n-gram of a task.  Shard files lie in the shared folder, are written once under names
 of their own (a repeated task writes another file, of which one is used), and are memory-mapped by the scoring tasks.
-To the driver come a few numbers for each shard.
+To the driver come a few numbers for each shard.  There are at most MAX_SHARDS shards, and keys have 64 bits: a corpus whose
+contexts x words do not fit is refused with an error.
 
 Defined cases: null and empty texts are one end; equal rows score alike and count as often as they occur; without training
 texts every token is unknown; an empty table gives no rows; columns other than the two named are not read.
@@ -35,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from driftloom.llm.common import bytes_of, column_of, fold_column, shared_dir, slices
+from driftloom.llm.common import bytes_of, column_of, fold_column, quoted, shared_dir, slices
 from driftloom.llm.elias_fano import EliasFano
 
 END = xxh64_digest(b"")  # no word is empty
 SLICE = 3 << 20
 FLUSH = 6_000_000
-MAX_SHARDS = 16384
+MAX_SHARDS = 65536  # files of a level; beyond them shards grow
+OPEN_SHARDS = 1024
 CODES = 255
 
 
@@ -115,6 +117,8 @@ class Level:
     def part(self, kind: str, s: int):
         got = self.opened.get((kind, s))
         if got is None:
+            if len(self.opened) >= OPEN_SHARDS:  # maps, and copies from a store that isn't mounted, are let go
+                self.opened.clear()
             if kind == "grams":
                 keys, counts = mapped(self.grams[s])
                 got = EliasFano(keys), EliasFano(counts)
@@ -356,6 +360,12 @@ def frequent(spark, level: Level, least: float) -> list[tuple[int, int]]:
     return [(r.place, r.n) for r in over_shards(spark, [s for s, g in enumerate(level.grams) if g], work, "place long, n long", ["place", "n"])]
 
 
+def check_keys(contexts: int, width: int) -> None:
+    """Keys are 64 bits: contexts x words must stay below 2 ** 64."""
+    if contexts * width >= 1 << 64:
+        raise OverflowError(f"{contexts} contexts x {width} words do not fit keys of 64 bits: use a lower order or less text")
+
+
 def bounds_for(contexts: int, width: int, shards: int, hot: list[tuple[int, int]], least: float) -> np.ndarray:
     """First keys of about ``shards`` shards of equal width; a context of ``hot`` is cut further, by its children's ids."""
     keys = {width * (contexts * i // shards) for i in range(shards)} | {0}
@@ -414,6 +424,7 @@ def build(texts: DataFrame, *, order: int = 3, shard_tokens: int = 2_000_000) ->
     trie = Trie([level_of(rows, bounds)], sum(r.tokens for r in rows), size.n)
     for k in range(2, order + 1):
         below, contexts = trie.levels[-1], trie.width if k == 2 else trie.levels[-1].size
+        check_keys(contexts, trie.width)
         least = max(1.0, trie.tokens / shards)
         hot = frequent(spark, below, least) + ([(trie.words, size.n)] if k == 2 and size.n > least else [])
         bounds = bounds_for(contexts, trie.width, shards, hot, least)
@@ -431,7 +442,7 @@ def build(texts: DataFrame, *, order: int = 3, shard_tokens: int = 2_000_000) ->
 
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from the documents not held out."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", fold_column("doc_id", folds) == held_fold)
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text")).withColumn("held_out", fold_column("doc_id", folds) == held_fold)
     trie = build(rows.where("not held_out").select("text"), **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
