@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm.cascade import Text
-from driftloom.llm.common import bytes_of, column_of, fold_column, slices, written
+from driftloom.llm.common import bytes_of, column_of, fold_column, quoted, slices, written
 
 #: For each statistic, the upper ends of its bins but the last.
 BINS: dict[str, tuple[float, ...]] = {
@@ -90,7 +90,7 @@ def features(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
             packed = [x.tobytes() for x in bins_of(values)]
             yield pa.RecordBatch.from_arrays([column_of(b, id_col).cast(pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "bins"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, bins binary")
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, "doc_id long, bins binary")
 
 
 def unpacked(b: pa.RecordBatch) -> np.ndarray:
