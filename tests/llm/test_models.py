@@ -25,6 +25,27 @@ def test_quality_query(spark, tables, rows, empty):
     assert {r.score for r in none.collect()} == {0.5}
 
 
+def test_quality_against_rows(spark, tables, rows):
+    """Moments, weights, prior and scores from plain rows, one text at a time."""
+    labels = {r.doc_id for r in spark.read.parquet(f"{tables}/labels.parquet").collect() if r.quality == 1}
+    bins = {i: pu_quality.bins_of(np.array([pu_quality.statistics((t or "").encode())])) for i, t, *_ in rows}
+    learn = [r[0] for r in rows if fold(r[0], 5)]
+    x = np.vstack([pu_quality.one_hot(bins[i]) for i in learn])
+    positive = np.array([i in labels for i in learn])
+    p, u = sum(np.outer(v, v) for v in x[positive]), sum(np.outer(v, v) for v in x)
+    first = pu_quality.fit(p, u, 0.5)
+    tail = lambda w, v: np.bincount(np.minimum((np.clip((1 + v @ w) / 2, 0, 1) * 200).astype(int), 199), minlength=200).astype(float)
+    weights = pu_quality.fit(p, u, pu_quality.best_bin_prior(tail(first, x[positive]), tail(first, x)))
+    for r in op7_pu_quality(spark, tables).collect():
+        assert r.score == pytest.approx(float(np.clip((1 + pu_quality.one_hot(bins[r.doc_id])[0] @ weights) / 2, 0, 1)), abs=1e-6)
+
+
+def test_quality_extra_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", 9.0, True), (2, None, "y", 8.0, False)], "doc_id long, text string, bins string, score double, held_out boolean")
+    labels = spark.createDataFrame([(1, 1, "z"), (1, 1, "w")], "doc_id long, quality int, positive string")
+    assert sorted(r.doc_id for r in pu_quality.score_quality(df, labels).collect()) == [1, 2]
+
+
 def test_quality_accuracy(spark):
     """Held-out accuracy with positives and unlabelled text only, negative labels being absent."""
     rng = random.Random(1)
@@ -73,25 +94,64 @@ def test_language_query(spark, tables, rows, empty):
     assert langid.identify(empty).count() == 0
 
 
-def test_language_accuracy(spark):
+def made_languages():
     rng = random.Random(4)
     stems = {"en": ["the", "ing", "tion", "and"], "de": ["ung", "sch", "keit", "der"], "fr": ["eau", "que", "ment", "les"]}
     rows = []
     for i in range(600):
         lang = rng.choice(sorted(stems))
         rows.append((i, " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 4))) for _ in range(12)), lang if i % 10 else None))
-    truth = {i: max(stems, key=lambda k: sum(t.count(s) for s in stems[k])) for i, t, _ in rows}
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for entries in (400_000, 60):  # a small model leans on character n-grams
-        held = [r for r in langid.identify(df, entries=entries).collect() if r.held_out]
+    return rows, {i: max(stems, key=lambda k: sum(t.count(s) for s in stems[k])) for i, t, _ in rows}
+
+
+def plain_languages(rows, longest=5):
+    """The model as dictionaries."""
+    words, parts = {}, {}
+    for _, text, lang in rows:
+        for w in langid.WORD.findall((text or "").lower()):
+            words.setdefault(lang, Counter())[w] += 1
+            for k in range(1, longest + 1):
+                parts.setdefault(lang, Counter()).update(f" {w} "[i : i + k] for i in range(len(w) + 3 - k))
+    langs = sorted(words)
+
+    def logs(table, key):
+        return [math.log((table[x][key] or 0.5) / sum(table[x].values())) for x in langs]
+
+    def predict(text):
+        total = [0.0] * len(langs)
+        for w in langid.WORD.findall((text or "").lower()):
+            rows_ = [logs(words, w)] if any(words[x][w] for x in langs) else []
+            for k in range(longest, 0, -1):
+                rows_ = rows_ or [logs(parts, g) for g in (f" {w} "[i : i + k] for i in range(len(w) + 3 - k)) if any(parts[x][g] for x in langs)]
+            total = [t + sum(r[i] for r in rows_) / max(1, len(rows_)) for i, t in enumerate(total)]
+        best = max(range(len(langs)), key=lambda i: total[i])
+        return langs[best], 1 / sum(math.exp(t - total[best]) for t in total)
+
+    return predict
+
+
+def test_language_against_dictionaries(spark):
+    """One shard or many: the same predictions as plain dictionaries, and right ones on the held-out rows."""
+    rows, truth = made_languages()
+    odd = [(1000, None, "en"), (1001, "", "de"), (1002, "12 ², _", "fr"), (1003, "zzzz Theing", None), (1004, "x" * 50_000 + " ung" * 30_000, None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumn("h", __import__("pyspark").sql.functions.lit("x")).withColumn("score", __import__("pyspark").sql.functions.lit("y"))
+    predict = plain_languages([r for r in rows + odd if fold(r[0], 5) and r[2]])
+    texts = {r[0]: r[1] for r in rows + odd}
+    for entries in (1 << 20, 40):
+        out = langid.identify(df, shard_entries=entries).collect()
+        assert len(out) == len(rows + odd)
+        for r in out:
+            lang, score = predict(texts[r.doc_id]) if any(map(str.isalpha, texts[r.doc_id] or "")) else ("und", 0.0)
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4)
+        held = [r for r in out if r.held_out and r.doc_id < 1000]
         assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.98 * len(held)
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", df.lang.substr(9, 1)).where("lang = 'zz'")).collect()} == set()
 
 
 def test_language_fallback_orders(spark):
     df = spark.createDataFrame([("aaa bbb", "x"), ("ccc ddd", "y")], "text string, lang string")
-    m = langid.train(df).model()
-    assert m.predict("aaab")[0] == "x" and m.predict("dddd")[0] == "y" and m.predict("zzz")[1] == pytest.approx(0.5) and m.predict("12 ²")[0] == "und"
+    (a, b, c, d) = langid.train(df).predict(["aaab", "dddd", "zzz", "12 ²"])
+    assert a[0] == "x" and b[0] == "y" and c[1] == pytest.approx(0.5) and d[0] == "und"
 
 
 @pytest.mark.parametrize("n,u", [(0, 10), (1, 1), (5, 6), (1000, 1200), (5000, 10**6), (20000, 2**63), (3000, 2**64 - 1)])
@@ -171,6 +231,17 @@ def test_frequent_context_with_one_child(spark):
         assert r.score == pytest.approx(score(texts[r.doc_id][0])[1], abs=0.03 * r.n_tokens)
 
 
+def test_language_model_extra_columns(spark):
+    df = spark.createDataFrame([(3, "a b", "x", 1.0), (4, "a", "y", 2.0)], "doc_id long, text string, shard string, score double")
+    assert sorted(r.n_tokens for r in eflm.score_texts(df).collect()) == [2, 3]
+
+
+def test_keys_beyond_64_bits_are_an_error():
+    eflm.check_keys(1 << 31, 1 << 32)
+    with pytest.raises(OverflowError):
+        eflm.check_keys(1 << 33, 1 << 32)
+
+
 def test_language_model_edges(spark, empty):
     assert eflm.score_texts(empty).count() == 0
     only_held = next(i for i in range(100) if fold(i, 7) == 2)
