@@ -1,6 +1,7 @@
 """Hierarchical multi-length packing.
 
-Every document is tokenised and closed with an end id.  Whole windows of the longest context are cut off first; what
+Every document is tokenised and closed with an end id.  Strings of special tokens in a text are ordinary text, as the
+vocabulary files' own description has it (``specials`` gives them their ids instead).  Whole windows of the longest context are cut off first; what
 remains is routed to the smallest context tier (powers of two) that holds it.  Tiers are packed from the longest down:
 the gap behind a long piece is filled with the largest fitting pieces of the shorter tiers, and one short piece is cut
 where nothing fits exactly, so no window has padding.  Sequences of one tier are then dealt into step groups of equal
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from driftloom.llm.common import column_of, slices, texts_of
+from driftloom.llm.common import column_of, quoted, slices, texts_of
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
@@ -37,9 +38,10 @@ ARROW = pa.schema([
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """text -> uint32 ids.  A file of ranks next to a .json vocabulary of the same name is used for speed; both give
-    the same ids (tests hold them against each other)."""
+def encoder(path: str, specials: bool = False):
+    """text -> uint32 ids, those of the vocabulary's own library without added tokens.  A file of ranks next to a .json
+    vocabulary of the same name is used for speed where specials are ordinary text; both give the same ids (tests hold them
+    against each other)."""
     ranks = path.removesuffix(".json") + ".tiktoken"
     try:
         import base64
@@ -47,6 +49,8 @@ def encoder(path: str):
         import public_tokenizers
         import tiktoken
 
+        if specials:
+            raise FileNotFoundError(path)
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -55,7 +59,7 @@ def encoder(path: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        tok.encode_special_tokens = not specials
         return lambda text: np.asarray(tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -168,11 +172,11 @@ def step_groups(windows: list[list], step_tokens: int) -> list[int]:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
-                   tiers: tuple[int, ...] = (256, 512, 1024, 2048), step_tokens: int = 1 << 16, buffer_tokens: int = 1 << 22) -> DataFrame:
+                   tiers: tuple[int, ...] = (256, 512, 1024, 2048), step_tokens: int = 1 << 16, buffer_tokens: int = 1 << 22, specials: bool = False) -> DataFrame:
     """One row per piece, with its token ids (little-endian unsigned 32-bit), its place and its step group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer_path), Packer(tiers)
+        encode, packer = encoder(tokenizer_path, specials), Packer(tiers)
         part = TaskContext.get().partitionId() << 40
         tokens: dict[int, np.ndarray] = {}
         names: dict[int, int | None] = {}
@@ -213,4 +217,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
         ready += packer.full_windows() + packer.tail()
         yield flush()
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(run, SCHEMA)
