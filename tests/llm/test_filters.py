@@ -45,6 +45,26 @@ def test_order_never_changes_the_verdict(docs):
     assert cascade.ranked({"a": (1e-6, 0.1), "b": (1e-6, 0.5), "c": (1e-9, 0.0), "d": (1e-8, 0.1)}) == ["d", "b", "a", "c"]
 
 
+def test_plan_is_conditional():
+    """A rule that rejects only what another has rejected already comes last, however well it does alone."""
+    raws = [b"a " * 10] * 60 + [b"# " * 10] * 30 + [b"x " * 10] * 10
+
+    def slow(t, letter):
+        return sum(letter in w for _ in range(40) for w in t.words) > 0
+
+    rules = {"fast_a": lambda t: t.raw[:1] == b"a", "slow_a": lambda t: slow(t, b"a"), "slow_hash": lambda t: slow(t, b"#")}
+    got = cascade.profile(raws, rules)
+    assert [n for n, _, _ in got] == ["fast_a", "slow_hash", "slow_a"]
+    assert [r for _, _, r in got] == [0.6, 0.75, 0.0]
+    assert sorted(n for n, _, _ in cascade.profile([])) == sorted(cascade.RULES)
+
+
+def test_sample_is_bounded(spark):
+    df = spark.createDataFrame([(None,), ("",)] + [(f"text {i}",) for i in range(4000)] + [("x" * 100_000,)], "text string").repartition(4)
+    got = cascade.sample(df, rows=50)
+    assert len(got) == 50 and all(len(r) <= cascade.SAMPLE_BYTES for r in got)
+
+
 def test_clashing_names_and_empty(spark, empty):
     df = spark.createDataFrame([("x y", 3, "q")], "text string, kept int, n_words string")
     out = cascade.cascade(df)

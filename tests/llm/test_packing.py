@@ -57,6 +57,30 @@ def test_full_texts_and_special_strings(spark):
     check(out, texts, digest=False)
 
 
+def test_both_libraries_agree(monkeypatch):
+    """The file of ranks and the .json vocabulary give the same ids; with specials, those of the plain tokenizer."""
+    import builtins
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "plain words", "é ü 漢字\n\n  \t x", "don't we'll 123 4567", "\u2028 \x00 \U0001f600"]
+    fast = encoder(PATH)
+    plain = Tokenizer.from_file(PATH)
+    assert [encoder(PATH, True)(t).tolist() for t in texts] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    real = builtins.__import__
+
+    def without(name, *a, **k):
+        if name == "tiktoken":
+            raise ImportError(name)
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    slow = encoder.__wrapped__(PATH)
+    monkeypatch.undo()
+    as_text = Tokenizer.from_file(PATH)
+    as_text.encode_special_tokens = True
+    assert [fast(t).tolist() for t in texts] == [slow(t).tolist() for t in texts] == [as_text.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 not in fast(texts[0]) and 50256 in encoder(PATH, True)(texts[0])
+
+
 def test_empty(spark, empty):
     assert pack_documents(empty, PATH).count() == 0
 

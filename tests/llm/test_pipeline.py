@@ -42,3 +42,22 @@ def test_empty_and_extra_columns(spark, empty):
     assert one_of_each(empty).count() == 0
     df = spark.createDataFrame([(1, "a b c", 5, 6), (1, "a b c", 5, 6), (2, "a b c", 7, 8), (None, "x y z", 1, 1)], "doc_id long, text string, key int, fp int")
     assert sorted((r.doc_id or 0, r.key) for r in one_of_each(df).collect()) == [(0, 1), (1, 5)]
+
+
+CLASHING = "kept int, spans string, `a.b` int, key string, own int, __dl_kept int, __dl_spans string, __dl_key string, bands int, item_id long, score string"
+
+
+def test_every_stage_keeps_extra_columns(spark, tables, rows):
+    """Names that the operators use, with values that come back as they were; and each stage on an empty table."""
+    fields = "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING
+    extra = lambda i: (7, f"s{i}", i, "k", 5, 3, "x", "y", 1, i, "z")
+    docs = spark.createDataFrame([(*r, *extra(r[0])) for r in rows], fields)
+    empty = spark.createDataFrame([], fields)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tables)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == extra(r[0]) for r in got), name
+        assert stage(spark, empty, tables).collect() == [], name
+    assert corpus_pipeline.packing(spark, empty, tables).collect() == []
+    assert len({r.doc_id for r in corpus_pipeline.packing(spark, docs, tables).collect()}) == len({r[0] for r in rows})

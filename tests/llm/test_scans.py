@@ -211,6 +211,70 @@ def test_revealing_terms(spark):
     assert all("xylophone" in out[600 + i].text for i in range(20))  # copies are one context, and no evidence
 
 
+def plain_revealing(rows, reach=20, share=0.8, z=1.645):
+    """The pairs by counting lines one at a time."""
+    lines, joint, texts, of_entity, of_term = 0, {}, {}, {}, {}
+    for _, text in rows:
+        text = text or ""
+        found = base_pii(text)
+        for k, line in enumerate(text.split("\n")):
+            lines += 1
+            at = sum(len(x) + 1 for x in text.split("\n")[:k])
+            for t in set(re.findall(r"[^\W\d_]{3,}", line.lower())):
+                of_term[t] = of_term.get(t, 0) + 1
+            own = [s for s in found if at <= s[0] < at + len(line)]
+            words = [(m.start() + at, m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", line) if not any(a < m.end() + at and m.start() + at < b for a, _, b, _ in own)]
+            near = {}
+            for a, _, b, kind in own:
+                v = text[a:b]
+                e = (kind, v.lower() if kind == "email" else v if kind == "ip" else re.sub("[^0-9]", "", v))
+                i = sum(w[0] < a for w in words)
+                near.setdefault(e, set()).update(w for _, w in words[max(0, i - reach) : i + reach])
+            for e, terms in near.items():
+                of_entity[e] = of_entity.get(e, 0) + 1
+                for t in terms:
+                    joint[e, t] = joint.get((e, t), 0) + 1
+                    texts.setdefault((e, t), set()).add(text)
+    out = set()
+    for (e, t), j in joint.items():
+        n, m = max(of_term[t], j), max(of_term[t], j) * len(texts[e, t]) / j
+        p = j / n
+        low = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        pmi, information = math.log2(low * lines / of_entity[e]), math.log2(lines / of_entity[e])
+        if pmi >= share * information and pmi > 0:
+            out.add((pii.code(":".join(e)), pii.code(t), j >= of_term[t]))
+    return out
+
+
+def test_pairs_against_counting(spark):
+    rng = random.Random(12)
+    names = [f"name{chr(97 + i)}x" for i in range(12)]
+    rows = revealing_rows()
+    for i in range(300):
+        who = rng.randrange(12)
+        rows.append((1000 + i, " ".join(rng.choice(["common", "words", "stand", "here", "often"]) for _ in range(30)) + (f" {names[who]} +1 202 555 01{who:02d}0" if i % 3 else "") + f"\nline {i}"))
+    rows += [(2000, None), (2001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.entity, r.term, r.whole) for r in pii.revealing(df).collect()}
+    assert got == plain_revealing(rows)
+    assert sum(any(t == pii.code(n) for _, t, _ in got) for n in names) == 12 and not any(t == pii.code("common") for _, t, _ in got)
+
+
+def test_one_line_is_evidence_in_a_large_corpus(spark):
+    """A name that stands once, beside a phone number, is found where the corpus is large enough to know that it is rare."""
+    rows = [(i, f"some ordinary line of text number {i}\nand another ordinary line") for i in range(4000)]
+    rows.append((9000, "ordinary text of melchior reachable under +49 30 1234567 and another ordinary line"))
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), replace=True).collect()}
+    assert "melchior" not in out[9000] and "<PHONE>" in out[9000] and "ordinary" in out[9000] and "another" in out[9000]
+    assert all(out[i] == t for i, t in rows[:-1])
+
+
+def test_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cc", "mine", 5)], "doc_id long, text string, spans string, term int")
+    out = pii.sanitise(df, replace=True, spans_col="found")
+    assert out.columns == ["doc_id", "text", "spans", "term", "found"] and (out.first().spans, out.first().term, out.first().text) == ("mine", 5, "mail <EMAIL>")
+
+
 def test_blocks_change_nothing(spark):
     df = spark.createDataFrame(revealing_rows(), "doc_id long, text string")
     key = lambda out: sorted((r.doc_id, r.text, str(r.spans)) for r in out.collect())
