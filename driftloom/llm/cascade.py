@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.llm.common import bytes_of, quoted, slices
+from driftloom.llm.common import bytes_of, map_rows, quoted, slices
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -177,4 +177,4 @@ def cascade(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None =
             kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.bool_() for f in added]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, *(f.name for f in added)])
 
-    return base.mapInArrow(run, schema)
+    return map_rows(base, run, schema)

@@ -92,6 +92,12 @@ def dropped(df: DataFrame) -> None:
     delete_dir(df.sparkSession, df._driftloom_path)
 
 
+def map_rows(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow for columns of any name, dots included."""
+    names = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x if x is not None else "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 

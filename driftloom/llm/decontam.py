@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import column_of, slices, texts_of
+from driftloom.llm.common import column_of, map_rows, quoted, slices, texts_of
 
 WORD = re.compile(r"\w+")
 OTHER = re.compile(r"[^\w\x00-\x7f]+")  # no word characters beyond ASCII
@@ -263,12 +263,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
                  threshold: float = 0.5, least_words: int = 8, shortest: int = 1, block_bytes: int = 16 << 20) -> DataFrame:
     """A row (doc_id, item_id, score from 0 to 1, item_words, start, end) for each passage that copies an item; start and end
     are code points.  Passages of one item in one document that do not overlap each give a row."""
-    spark, docs = docs.sparkSession, docs.select(id_col, text_col)
+    spark, docs = docs.sparkSession, docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
 
     def scan(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, text_col):
-                rows = [(d, *p) for d, text in zip(column_of(b, id_col).to_pylist(), texts_of(b, text_col), strict=True) for p in passages(sent.value, text)]
+            for b in slices(batches):
+                rows = [(d, *p) for d, text in zip(column_of(b, "doc_id").to_pylist(), texts_of(b), strict=True) for p in passages(sent.value, text)]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * len(ARROW)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW, strict=True)], schema=ARROW)
 
@@ -295,5 +295,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str
 
     out = docs
     for index in indexes(benchmark, item_col, item_text_col, threshold, least_words, shortest, block_bytes):
-        out = out.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+        out = map_rows(out, keep(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return out

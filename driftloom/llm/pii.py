@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from driftloom.llm.common import column_of, join_hot, quoted, slices, texts_of, written
+from driftloom.llm.common import column_of, join_hot, map_rows, quoted, slices, texts_of, written
 
 PARTIAL = 400_000
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -240,7 +240,7 @@ def sanitise(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None
     for k in range(blocks):
         got = pairs.where(F.pmod(F.xxhash64("entity"), F.lit(blocks)) == k).toArrow()  # about ``block`` pairs
         table = Pairs(*(got[c].to_numpy() for c in ("entity", "term", "whole")))
-        now = now.mapInArrow(marker(docs.sparkSession.sparkContext.broadcast(table), text_col, spans_col, replace and k == blocks - 1), schema)
+        now = map_rows(now, marker(docs.sparkSession.sparkContext.broadcast(table), text_col, spans_col, replace and k == blocks - 1), schema)
         if k < blocks - 1:
             now = written(now)
     return now.select(*map(quoted, keep), spans_col)
