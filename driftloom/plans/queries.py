@@ -198,9 +198,9 @@ def except_times(spark, d):
     return panel(spark, d).select("ts").subtract(market.order_panel(spark, d).select("ts"))
 
 
-@register("panel_merge", sql("SELECT p.ts, p.symbol AS left_symbol, o.symbol AS right_symbol, p.price AS left_price, o.price AS right_price FROM panel p JOIN opanel o ON p.ts = o.ts WHERE p.symbol = 'AF'"))
+@register("panel_merge", sql("SELECT p.ts, p.symbol AS left_symbol, o.symbol AS right_symbol, p.price AS left_price, o.price AS right_price FROM panel p JOIN opanel o ON p.ts = o.ts"))
 def panel_merge(spark, d):
-    left = panel(spark, d).where("symbol = 'AF'").select("ts", F.col("symbol").alias("left_symbol"), F.col("price").alias("left_price"))
+    left = panel(spark, d).select("ts", F.col("symbol").alias("left_symbol"), F.col("price").alias("left_price"))
     return left.join(market.order_panel(spark, d).select("ts", F.col("symbol").alias("right_symbol"), F.col("price").alias("right_price")), "ts")
 
 
@@ -454,9 +454,12 @@ def beta_exit_change(spark, d):
     return M.regression(rows, "y", "x", ["pair"]).select("pair", *r6("slope", "intercept", "r"), "n")
 
 
-@register("feature_corr", sql("SELECT pair, 'drift' AS feature, round(corr(drift, pnl), 6) + 0.0 AS corr FROM ledger GROUP BY 1 UNION ALL SELECT pair, 'entry_beta', round(corr(entry_beta, pnl), 6) + 0.0 FROM ledger GROUP BY 1"))
+HELD_BETA = "SELECT t.pair, t.trade_no, stddev_pop(y.beta) AS beta_std, max(y.beta) - min(y.beta) AS beta_range FROM trades t JOIN b y ON y.pair = t.pair AND y.rn BETWEEN t.rn0 AND t.rn1 GROUP BY 1, 2"
+
+
+@register("feature_corr", sql(" UNION ALL ".join(f"SELECT pair, '{c}' AS feature, round(corr({c}, pnl), 6) + 0.0 AS corr FROM ledger JOIN ({HELD_BETA}) USING (pair, trade_no) GROUP BY 1" for c in FEATURES)))
 def feature_corr(spark, d):
-    return M.feature_correlations(ledger(spark, d), FEATURES[:2], "pnl", ["pair"]).select("pair", "feature", *r6("corr"))
+    return M.feature_correlations(ledger(spark, d), FEATURES, "pnl", ["pair"]).select("pair", "feature", *r6("corr"))
 
 
 @register("sigma_profit", sql("SELECT pair, trade_no, round(entry_std / nullif(entry_s1 + entry_beta * entry_s2, 0), 6) + 0.0 AS sigma_profit FROM trades"))
@@ -524,7 +527,11 @@ def best_thresholds(spark, d):
     return best_rules(rewards(cycle_bars(spark, d), THRESHOLDS), THRESHOLDS)
 
 
-@register("oracle_equity")
+BEST = "SELECT k.pair, max(CASE WHEN t.exit_type = 'win' THEN k.param END) AS param FROM (SELECT DISTINCT param, pair FROM b) k LEFT JOIN trades t ON t.param = k.param AND t.pair = k.pair AND t.trade_no = 1 GROUP BY 1"
+
+
+@register("oracle_equity", sql(f"""SELECT pair, cycle_id, param, round(profit, 4) + 0.0 AS profit, round(sum(profit) OVER (PARTITION BY pair ORDER BY cycle_id), 4) + 0.0 AS cum_profit FROM (SELECT split_part(k.pair, '#', 1) AS pair,
+    CAST(split_part(k.pair, '#', 2) AS BIGINT) AS cycle_id, k.param, l.pnl1 + l.pnl2 AS profit FROM ({BEST}) k JOIN legs l ON l.pair = k.pair AND l.param = k.param AND l.trade_no = 1) WHERE cycle_id > 1""", grid=REWARD_GRID, b=CYCLE_BARS))
 def oracle_equity(spark, d):
     from driftloom.operators.agent import best_rules, oracle_curve, reward_table as rewards
 
@@ -596,11 +603,176 @@ def cointegrated_windows(spark, d):
     return test(P.tumbling(P.pair_frame(panel(spark, d)), ["pair"], 400)).select("pair", "windows", "passed", *r6("mean_p", "pass_fraction"))
 
 
-@register("white_noise")
+RESID = "SELECT p.pair, p.ts, p.s1 - f.a - f.b * p.s2 AS e FROM pairs p JOIN (SELECT pair, regr_slope(s1, s2) AS b, regr_intercept(s1, s2) AS a FROM pairs GROUP BY 1) f ON f.pair = p.pair"
+
+
+@register("white_noise", sql(f"""SELECT pair, round(q, 4) + 0.0 AS q, q <= 3.841458820694124 AS white FROM (SELECT pair, n * (n + 2) * power(r, 2) / (n - 1) AS q FROM (SELECT pair, count(*) AS n, sum((e - m) * (p - m)) / sum(power(e - m, 2)) AS r FROM
+    (SELECT *, avg(e) OVER (PARTITION BY pair) AS m, lag(e) OVER (PARTITION BY pair ORDER BY ts) AS p FROM ({RESID})) GROUP BY 1))"""))
 def white_noise(spark, d):
     from driftloom.operators.discovery import residuals, white_noise as test
 
-    return test(residuals(P.pair_frame(panel(spark, d)))).select("pair", *r6("q", "pvalue"), "white")
+    return test(residuals(P.pair_frame(panel(spark, d)))).select("pair", *r4("q"), "white")
+
+
+#: MacKinnon's response surfaces for two series with a constant, at n - 1 values (fixed values).
+CRIT = ", ".join(f"round({a} + ({b}) / (n - 1) + ({c}) / power(n - 1, 2), 6) AS {name}" for name, a, b, c in (("crit1", -3.89644, -10.9519, -22.527), ("crit5", -3.33613, -6.1101, -6.823), ("crit10", -3.04445, -4.2412, -2.720)))
+EG = "SELECT {keys}, max(n) AS n, sum(d * p) / sum(p * p) / sqrt((sum(d * d) - power(sum(d * p), 2) / sum(p * p)) / (count(d) - 1) / sum(p * p)) AS t FROM (SELECT *, e - p AS d FROM (SELECT *, lag(e) OVER (PARTITION BY {keys} ORDER BY ts) AS p, count(*) OVER (PARTITION BY {keys}) AS n FROM ({resid})) WHERE p IS NOT NULL) GROUP BY {keys}"
+
+
+@register("cointegration_fixed", sql(f"SELECT pair, round(t, 6) + 0.0 AS t, {CRIT}, 0 AS lags FROM ({EG.format(keys='pair', resid=RESID)})"))
+def cointegration_fixed(spark, d):
+    from driftloom.operators.discovery import cointegration as test
+
+    return test(P.pair_frame(panel(spark, d)), ["pair"], 0, None).select("pair", *r6("t", "crit1", "crit5", "crit10"), "lags")
+
+
+RESID_400 = "SELECT w.pair, w.window_id, w.ts, w.s1 - f.a - f.b * w.s2 AS e FROM ws w JOIN (SELECT pair, window_id, regr_slope(s1, s2) AS b, regr_intercept(s1, s2) AS a FROM ws GROUP BY 1, 2) f USING (pair, window_id)"
+WINDOWS_400 = "SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY pair ORDER BY ts) - 1) // 400 AS window_id, count(*) OVER (PARTITION BY pair) AS n0 FROM pairs) WHERE window_id < n0 // 400"
+
+
+def five_percent() -> float:
+    """The statistic at which the p-value of two series with a constant is 5 percent."""
+    from driftloom.functions.unitroot import mackinnon_p
+
+    low, high = -10.0, 0.0
+    for _ in range(80):
+        low, high = ((low + high) / 2, high) if mackinnon_p((low + high) / 2, "c", 2) < 0.05 else (low, (low + high) / 2)
+    return low
+
+
+@register("cointegrated_windows_fixed", sql(f"SELECT pair, count(*) AS windows, CAST(count(*) FILTER (t < {five_percent()!r}) AS BIGINT) AS passed, round(count(*) FILTER (t < {five_percent()!r}) / count(*), 6) AS pass_fraction FROM ({EG.format(keys='pair, window_id', resid=RESID_400.replace('ws ', f'({WINDOWS_400}) '))}) GROUP BY 1"))
+def cointegrated_windows_fixed(spark, d):
+    from driftloom.operators.discovery import cointegrated_windows as test
+
+    return test(P.tumbling(P.pair_frame(panel(spark, d)), ["pair"], 400), min_pass=0.0, most=0, rule=None).select("pair", "windows", "passed", *r6("pass_fraction"))
+
+
+KPSS_SUMS = " + ".join(f"2 * {1 - k / 5} * sum(e * e{k})" for k in range(1, 5))
+
+
+@register("stationarity_fixed", sql(f"""SELECT symbol, round(r * sqrt((n - 3) / (1 - r * r)), 6) + 0.0 AS adf, round(kpss, 6) AS kpss FROM (SELECT symbol, count(*) AS n, corr(price - p, p) AS r, sum(power(s, 2)) / power(count(*), 2) / ((sum(e * e) + {KPSS_SUMS}) / count(*)) AS kpss FROM
+    (SELECT *, sum(e) OVER w AS s, {', '.join(f'lag(e, {k}) OVER w AS e{k}' for k in range(1, 5))} FROM (SELECT symbol, ts, price, lag(price) OVER (PARTITION BY symbol ORDER BY ts) AS p, price - avg(price) OVER (PARTITION BY symbol) AS e FROM panel) WINDOW w AS (PARTITION BY symbol ORDER BY ts)) GROUP BY 1)"""))
+def stationarity_fixed(spark, d):
+    from driftloom.operators.discovery import stationarity as test
+
+    return test(panel(spark, d), ["symbol"], "price", 0, 4).select("symbol", *r6("adf", "kpss"))
+
+
+LAGGED = "SELECT symbol, ts, x, lag(x) OVER w AS x1, lag(x, 2) OVER w AS x2, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT symbol, ts, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM rets) WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
+
+
+@register("autocorrelations", sql(f"""SELECT symbol, round(r1, 6) + 0.0 AS r1, round(r2, 6) + 0.0 AS r2, round(r2 + 1.959963984540054 * sqrt((1 + 2 * r1 * r1) / n), 6) + 0.0 AS high2, round((r2 - r1 * r1) / (1 - r1 * r1), 6) + 0.0 AS partial2, round(b1, 6) + 0.0 AS burg1,
+    round(n * (n + 2) * (r1 * r1 / (n - 1) + r2 * r2 / (n - 2)), 4) + 0.0 AS q, round(c0 * (1 - r1 * r1) * (1 - power((r2 - r1 * r1) / (1 - r1 * r1), 2)), 6) + 0.0 AS sigma2
+    FROM (SELECT symbol, count(*) AS n, sum(x * x) / count(*) AS c0, sum(x * x1) / sum(x * x) AS r1, sum(x * x2) / sum(x * x) AS r2, 2 * sum(x * x1) / (sum(x * x) FILTER (i > 1) + sum(x * x) FILTER (i < n)) AS b1 FROM ({LAGGED}) GROUP BY 1)"""))
+def autocorrelations(spark, d):
+    from driftloom.operators.discovery import autocorrelations as test
+
+    found = test(W.log_returns(panel(spark, d)), ["symbol"], "ret", 2)
+    wide = found.select("symbol", "q", "sigma2", F.col("r")[0].alias("r1"), F.col("r")[1].alias("r2"), F.col("high")[1].alias("high2"), F.col("partial")[1].alias("partial2"), F.col("burg")[0].alias("burg1"))
+    return wide.select("symbol", *r6("r1", "r2", "high2", "partial2", "burg1", "sigma2"), *r4("q"))
+
+
+def partial_f(y: str, own: str, other: str) -> str:
+    r = f"((corr({y}, {other}) - corr({y}, {own}) * corr({own}, {other})) / sqrt((1 - power(corr({y}, {own}), 2)) * (1 - power(corr({own}, {other}), 2))))"
+    return f"round(power({r}, 2) / (1 - power({r}, 2)) * (count({own}) - 3), 4) + 0.0"
+
+
+@register("pair_tests", sql(f"""SELECT pair, round(max(c0), 6) + 0.0 AS ccf0, round(sum((s1 - m1) * (p2 - m2)) / (count(*) - 1) / max(sd), 6) + 0.0 AS ccf1, {partial_f('CASE WHEN p1 IS NOT NULL THEN s1 END', 'p1', 'p2')} AS f12, {partial_f('CASE WHEN p1 IS NOT NULL THEN s2 END', 'p2', 'p1')} AS f21
+    FROM (SELECT pair, s1, s2, lag(s1) OVER w AS p1, lag(s2) OVER w AS p2, avg(s1) OVER v AS m1, avg(s2) OVER v AS m2, stddev_pop(s1) OVER v * stddev_pop(s2) OVER v AS sd, corr(s1, s2) OVER v AS c0 FROM pairs WINDOW w AS (PARTITION BY pair ORDER BY ts), v AS (PARTITION BY pair)) GROUP BY 1"""))
+def pair_tests(spark, d):
+    from driftloom.operators.discovery import pair_tests as test
+
+    return test(P.pair_frame(panel(spark, d))).select("pair", F.col("ccf")[0].alias("ccf0"), F.col("ccf")[1].alias("ccf1"), "f12", "f21").select("pair", *r6("ccf0", "ccf1"), *r4("f12", "f21"))
+
+
+@register("breaks", sql("""SELECT symbol, round(sum(price * price) FILTER (i > n - round(n / 3)) / sum(price * price) FILTER (i <= round(n / 3)), 6) AS ratio, round(count(*) FILTER (price > h OR price < l) / sqrt(count(*)), 6) AS extremes FROM
+    (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS n, max(price) OVER w AS h, min(price) OVER w AS l FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY 1"""))
+def breaks(spark, d):
+    from driftloom.operators.discovery import breaks as test
+
+    return test(panel(spark, d), ["symbol"], "price").select("symbol", *r6("ratio", "extremes"))
+
+
+@register("price_difference", sql("SELECT symbol, ts, round(price - lag(price) OVER (PARTITION BY symbol ORDER BY ts), 6) + 0.0 AS d FROM panel"))
+def price_difference(spark, d):
+    return W.difference(panel(spark, d), "price", ["symbol"], "d").select("symbol", "ts", *r6("d"))
+
+
+@register("cumulative_returns", sql("SELECT symbol, ts, round(sum(ret) OVER (PARTITION BY symbol ORDER BY ts), 6) + 0.0 AS c FROM rets"))
+def cumulative_returns(spark, d):
+    return W.cumulative(W.log_returns(panel(spark, d)), "ret", ["symbol"], "c").select("symbol", "ts", *r6("c"))
+
+
+@register("plain_positions", sql("SELECT pair, ts, CAST(pos AS INTEGER) AS position FROM held", grid="SELECT * FROM (VALUES ('plain', 1.0, 1e300)) g(param, entry, stop)"))
+def plain_positions(spark, d):
+    return fold.strategy_bars(signals(spark, d), fold.Rules(1.0, 0.0, float("inf"))).select("pair", "ts", "position")
+
+
+#: The order-book variant: flat on the first bar, entries beyond the stop too, a lock only after a stop.
+BOOK_STATE = """SELECT DISTINCT param, pair, CAST(0 AS BIGINT) AS rn, 0 AS pos, 0 AS lck FROM b UNION ALL
+    SELECT b.param, b.pair, b.rn, CASE WHEN b.z IS NULL OR b.rn = 1 THEN st.pos WHEN st.pos <> 0 THEN CASE WHEN -st.pos * b.z <= 0 OR -st.pos * b.z >= b.stop THEN 0 ELSE st.pos END
+      WHEN st.lck <> 0 THEN 0 WHEN b.z >= b.entry THEN -1 WHEN b.z <= -b.entry THEN 1 ELSE 0 END,
+    CASE WHEN b.z IS NULL OR b.rn = 1 THEN st.lck WHEN st.pos <> 0 THEN CASE WHEN -st.pos * b.z <= 0 THEN 0 WHEN -st.pos * b.z >= b.stop THEN st.pos ELSE 0 END
+      WHEN st.lck <> 0 AND st.lck * b.z < 0 THEN st.lck ELSE 0 END FROM st JOIN b ON b.param = st.param AND b.pair = st.pair AND b.rn = st.rn + 1"""
+
+
+@register("book_positions", sql("SELECT pair, ts, CAST(pos AS INTEGER) AS position FROM held", st=BOOK_STATE))
+def book_positions(spark, d):
+    return fold.strategy_bars(signals(spark, d), fold.Rules(1.0, 0.0, 2.0, book=True)).select("pair", "ts", "position")
+
+
+@register("legacy_rewards", sql("SELECT pair, trade_no, CAST(CASE exit_type WHEN 'win' THEN 1000 WHEN 'loss' THEN -500 ELSE 0 END AS INTEGER) AS reward FROM trades"))
+def legacy_rewards(spark, d):
+    from driftloom.operators.agent import legacy_reward
+
+    return legacy_reward(deals(spark, d)).select("pair", "trade_no", "reward")
+
+
+@register("episodes", sql("SELECT pair, ts, CAST(k AS BIGINT) AS episode, CASE WHEN i - k * 50 < 100 THEN 'formation' ELSE 'trading' END AS phase FROM (SELECT pair, ts, row_number() OVER (PARTITION BY pair ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY pair) AS n FROM pairs) CROSS JOIN (SELECT unnest(range(1000)) AS k) WHERE k < (n - 100) // 50 AND i >= k * 50 AND i < k * 50 + 150"))
+def episodes(spark, d):
+    return fold.episodes(P.pair_frame(panel(spark, d)), 100, 50).select("pair", "ts", F.col("episode").cast("long").alias("episode"), "phase")
+
+
+RECENT = "SELECT *, avg(spread) OVER w AS m, coalesce(nullif(stddev_samp(spread) OVER w, 0), 1e-8) AS s FROM b WINDOW w AS (PARTITION BY pair ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+@register("risk_sized", sql(f"""SELECT pair, trade_no, CAST(position AS INTEGER) AS position, round(size, 6) + 0.0 AS size, stopped, round(CASE WHEN stopped THEN -100.0::DOUBLE ELSE last END, 4) + 0.0 AS pnl FROM (SELECT t.pair, t.trade_no, t.position, 100 / e.s AS size,
+    bool_or(y.rn > t.rn0 AND t.position * (y.spread - (e.m - t.position * 2 * e.s)) <= 0) AS stopped, arg_max(t.position * 100 / e.s * (y.spread - e.spread), y.rn) AS last
+    FROM trades t JOIN ({RECENT}) e ON e.pair = t.pair AND e.rn = t.rn0 JOIN b y ON y.pair = t.pair AND y.rn BETWEEN t.rn0 AND t.rn1 GROUP BY 1, 2, 3, 4)"""))
+def risk_sized(spark, d):
+    return M.risk_sized(fold.strategy_bars(signals(spark, d), RULES), 100.0).select("pair", "trade_no", "position", *r6("size"), "stopped", *r4("pnl"))
+
+
+SHAPES = "SELECT pair, cycle_id, avg(power((z - m) / s, 3)) AS skew, avg(power((z - m) / s, 4)) - 3 AS kurt FROM (SELECT *, avg(z) OVER w AS m, nullif(stddev_pop(z) OVER w, 0) AS s FROM cbars WINDOW w AS (PARTITION BY pair, cycle_id)) GROUP BY 1, 2"
+
+
+@register("cycle_shapes", sql(f"SELECT pair, CAST(cycle_id AS BIGINT) AS cycle_id, round((skew - avg(skew) OVER w) / nullif(stddev_pop(skew) OVER w, 0), 6) + 0.0 AS skew, round((kurt - avg(kurt) OVER w) / nullif(stddev_pop(kurt) OVER w, 0), 6) + 0.0 AS kurt FROM ({SHAPES}) WINDOW w AS (PARTITION BY pair)"))
+def cycle_shapes(spark, d):
+    from driftloom.operators.agent import cycle_features as features
+
+    return features(cycle_bars(spark, d)).select("pair", "cycle_id", *r6("skew", "kurt"))
+
+
+@register("price_files", sql("SELECT ts, symbol, price FROM panel"))
+def price_files(spark, d):
+    """Written as a wide CSV file and read back."""
+    from driftloom.sources.sinks import scratch_dir, write_csv
+
+    rows, path = panel(spark, d), scratch_dir(spark)
+    symbols = sorted(r.symbol for r in rows.select("symbol").distinct().collect())  # the file's columns
+    write_csv(P.wide(rows, symbols), path)
+    return market.price_csv(spark, path, symbols)
+
+
+@register("tick_files", sql("SELECT ts, symbol, side, price, amount, CAST(id AS VARCHAR) AS id FROM ticks"))
+def tick_files(spark, d):
+    """Written as compressed CSV files and read back."""
+    from driftloom.sources.sinks import scratch_dir, write_csv
+
+    rows, path = market.event_ticks(spark, d), scratch_dir(spark)
+    stamp = F.unix_micros(F.col("ts").cast("timestamp"))
+    write_csv(rows.select(F.lit("x").alias("exchange"), "symbol", stamp.alias("timestamp"), stamp.alias("local_timestamp"), F.col("id").cast("string").alias("id"), "side", "price", "amount"), path, compression="gzip")
+    return market.trades_csv(spark, f"{path}/*.csv.gz").drop("file")
 
 
 @register("stationarity")

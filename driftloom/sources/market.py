@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import time
 import urllib.parse
 import urllib.request
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from driftloom import schema as S
@@ -47,12 +50,22 @@ def symbol_of_file(column: str = "file"):
 
 
 def closing_prices(spark: SparkSession, folder: str) -> DataFrame:
-    """Long panel of closing prices from a folder of files with ``Open Time`` and ``Close``; files without them give nothing."""
-    raw = spark.read.csv(folder, header=True, mode="PERMISSIVE", enforceSchema=False, inferSchema=False, pathGlobFilter="*.csv")
-    if not {"Open Time", "Close"} <= set(raw.columns):
-        return spark.createDataFrame([], S.PANEL)
-    rows = raw.select(F.expr("try_to_timestamp(`Open Time`)").cast("timestamp_ntz").alias("ts"), symbol_of_file("_metadata.file_path").alias("symbol"), F.expr("try_cast(`Close` as double)").alias("price"))
-    return rows.where("ts is not null and price is not null")
+    """Long panel of closing prices from a folder of files with ``Open Time`` and ``Close``, each by its own header; files
+    without them give nothing."""
+    lines = spark.read.text(folder, pathGlobFilter="*.csv").select(F.col("_metadata.file_path").alias("file"), "value")
+    heads = lines.where(F.col("value").contains("Open Time") & F.col("value").contains("Close")).groupBy("file").agg(F.first("value").alias("head")).collect()  # a row for each file
+    files: dict[str, list[str]] = {}
+    for r in heads:
+        files.setdefault(r.head, []).append(urllib.parse.unquote(r.file))
+    out = spark.createDataFrame([], S.PANEL)
+    for head, paths in sorted(files.items()):
+        names = next(csv.reader([head]))
+        if not {"Open Time", "Close"} <= set(names):
+            continue
+        raw = spark.read.csv(paths, header=True, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        rows = raw.select(F.expr("try_to_timestamp(`Open Time`)").cast("timestamp_ntz").alias("ts"), symbol_of_file("_metadata.file_path").alias("symbol"), F.expr("try_cast(`Close` as double)").alias("price"))
+        out = out.unionByName(rows.where("ts is not null and price is not null"))
+    return out
 
 
 def book_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +121,8 @@ def synthetic_pair(spark: SparkSession, n: int = 720, alpha: float = 5.0, beta:
 
 class KlineSource(DataSource):
     """``spark.read.format("klines_rest")``: a REST endpoint that returns kline arrays.  Options: url, symbols (comma-separated),
-    interval, limit.  A symbol whose request fails gives no rows."""
+    interval, limit (rows a page), start (milliseconds: pages follow until one isn't full), retries (3).  A request that fails
+    every time fails the query: no symbol is left out silently."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,15 +145,28 @@ class KlineReader(DataSourceReader):
     def read(self, partition: InputPartition):
         from datetime import datetime, timezone
 
-        query = urllib.parse.urlencode({"symbol": partition.value, "interval": self.options.get("interval", "1d"), "limit": self.options.get("limit", "365")})
-        try:
-            with urllib.request.urlopen(f"{self.options['url']}?{query}", timeout=30) as answer:
-                rows = json.load(answer)
-        except (OSError, ValueError):
-            return
-        for r in rows:
-            ts = datetime.fromtimestamp(int(r[0]) / 1000, timezone.utc).replace(tzinfo=None)
-            yield (partition.value, ts, *(float(x) for x in r[1:6]))
+        limit, start = int(self.options.get("limit", "365")), self.options.get("start")
+        query = {"symbol": partition.value, "interval": self.options.get("interval", "1d"), "limit": str(limit)}
+        while True:
+            rows = self.page(query | ({"startTime": str(start)} if start is not None else {}))
+            for r in rows:
+                ts = datetime.fromtimestamp(int(r[0]) / 1000, timezone.utc).replace(tzinfo=None)
+                yield (partition.value, ts, *(float(x) for x in r[1:6]))
+            if start is None or len(rows) < limit:
+                return
+            start = int(rows[-1][0]) + 1
+
+    def page(self, query: dict[str, str]) -> list:
+        tries = int(self.options.get("retries", "3"))
+        for k in range(tries):
+            try:
+                with urllib.request.urlopen(f"{self.options['url']}?{urllib.parse.urlencode(query)}", timeout=30) as answer:
+                    return json.load(answer)
+            except (OSError, ValueError):
+                if k == tries - 1:
+                    raise
+                time.sleep(0.5 * 2**k)
+        return []
 
 
 # ---- adapters from the star-schema tables ----

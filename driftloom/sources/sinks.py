@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.schema import DISPLAY
 
@@ -17,3 +20,11 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite", compression:
 def write_panel(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Parquet, a folder for each symbol, so that scans of few symbols read only those."""
     df.repartition("symbol").write.mode(mode).partitionBy("symbol").parquet(path)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which every executor sees; a temp folder where that is unset and all is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp()).rstrip('/')}/files/{uuid.uuid4().hex}"
