@@ -204,8 +204,11 @@ def test_files(spark, tmp_path):
     folder = tmp_path / "folder"
     folder.mkdir()
     (folder / "BTCUSDT_2024_1m.csv").write_text("Open Time,Close\n2024-01-01 00:00:00,5\nbad,6\n")
-    (row,) = market.closing_prices(spark, str(folder)).collect()
-    assert row.symbol == "BTC/USDT_2024_1m" and row.price == 5
+    (folder / "ETHUSDT_2024_1m.csv").write_text("Open Time,Open\n2024-01-01 00:00:00,5\n")
+    (folder / "XRPUSDT_2024_1m.csv").write_text("Close,Open Time\n7,2024-01-01 00:00:00\n")
+    (folder / "empty.csv").write_text("")
+    rows = market.closing_prices(spark, str(folder)).collect()  # each file by its own header
+    assert sorted((r.symbol, r.price) for r in rows) == [("BTC/USDT_2024_1m", 5.0), ("XRP/USDT_2024_1m", 7.0)]
     (tmp_path / "book.csv").write_text("local_timestamp,asks[0].price,asks[0].amount,bids[0].price,bids[0].amount\n2024-01-01 00:00:00,2,1,1,3\n")
     assert M.mid_and_spread(market.book_csv(spark, f"{tmp_path}/book.csv")).first().mid == 1.5
     with pytest.raises(ValueError):
@@ -221,13 +224,20 @@ def test_listing_and_calendar(spark):
 
 
 def test_rest_source(spark):
+    """Pages follow one another; a request that fails once is repeated, one that always fails is an error."""
+    failed = []
+
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
-            good = "symbol=BTC" in self.path
+            query = dict(x.split("=") for x in self.path.partition("?")[2].split("&"))
+            first = not failed and failed.append(1) is None
+            good = query["symbol"] == "BTC" and not first
             self.send_response(200 if good else 500)
             self.end_headers()
             if good:
-                self.wfile.write(json.dumps([[1704067200000, "1", "2", "0.5", "1.5", "10", 0]]).encode())
+                start = int(query.get("startTime", 0))
+                times = [t for t in range(1704067200000, 1704067200000 + 5 * 60000, 60000) if t >= start][: int(query["limit"])]
+                self.wfile.write(json.dumps([[t, "1", "2", "0.5", "1.5", "10", 0] for t in times]).encode())
 
         def log_message(self, *args):
             pass
@@ -235,9 +245,12 @@ def test_rest_source(spark):
     server = HTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     spark.dataSource.register(market.KlineSource)
-    rows = spark.read.format("klines_rest").option("url", f"http://127.0.0.1:{server.server_port}/").option("symbols", "BTC,BAD").load().collect()
+    reader = spark.read.format("klines_rest").option("url", f"http://127.0.0.1:{server.server_port}/").option("limit", "2")
+    rows = reader.option("symbols", "BTC").option("start", "1704067200000").load().collect()
+    assert len({r.ts for r in rows}) == len(rows) == 5 and {r.close for r in rows} == {1.5}
+    with pytest.raises(Exception, match="500"):
+        reader.option("symbols", "BTC,BAD").option("retries", "1").load().collect()
     server.shutdown()
-    assert [(r.symbol, r.close) for r in rows] == [("BTC", 1.5)]
 
 
 def test_mismatch_of_missing_values(spark):
