@@ -8,11 +8,11 @@ about the alphabet's middle, and serial correlation at lag one.  Fisher's sum of
 smaller, the more random.
 
 False-discovery control is length-aware: for each cell of encoding and length class, the cut is the largest statistic at which
-the expected number of ordinary tokens is at most ``rate`` times the number of tokens found.  What ordinary text gives is
-measured on the corpus itself, by tokens of run together text from every document (PARTS of the encodings for each, chosen by
-the text's hash; equal texts count once), on top of PRIOR tokens of a fixed model of independent letters.  So every cell has a
-null at every size of corpus.  Both sides are histograms of fixed size, so no sort and no list of tokens is needed; equal
-tokens count once.  A token whose randomness is rejected outright (the statistic above RANDOM, which one random token in a
+the expected number of ordinary tokens is at most ``rate`` times the number of tokens found.  What ordinary text gives comes
+from the whole corpus: every word of every text (equal texts count once) is counted, with which characters of each encoding
+follow one another in it, and the chain with these counts gives the statistic's histogram for each encoding and length class,
+on top of PRIOR tokens of a fixed model of independent letters.  So every cell has a null from all texts, at every size of
+corpus.  Both sides are histograms of fixed size, so no sort and no list of tokens is needed; equal tokens count once.  A token whose randomness is rejected outright (the statistic above RANDOM, which one random token in a
 thousand exceeds) is never reported.
 
 Offsets are code points, ends exclusive.  Base patterns keep their spans; the battery's are of kind ``random`` and do not
@@ -61,8 +61,8 @@ ENCODINGS = {
 CLASSES = (16, 20, 24, 32, 48, 64)  # least lengths of the length classes
 BINS_PER_UNIT, MOST = 4, 400
 RANDOM = 22.458  # the 0.999 quantile of chi-squared with six degrees of freedom
-EXCERPT, PARTS = 1024, 3
-PRIOR, DRAWN = 500, 2000
+WORD = r"[^\x20\x09-\x0D]{1,64}"
+PRIOR, DRAWN, CHAINS = 500, 2000, 5000
 # Letters of English text in percent, a to z.
 SHARES = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
 
@@ -208,25 +208,59 @@ def in_bins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bin", F.least(F.floor(F.col("statistic") * BINS_PER_UNIT), F.lit(MOST)).cast("int"))
 
 
-def ordinary_tokens(docs: DataFrame) -> DataFrame:
-    """(own, encoding, token): from an excerpt of each text, at a place that its hash picks, tokens of the run together
-    characters of one in PARTS of the encodings, of one length each; ``own`` is a hash of the text."""
-    own = F.xxhash64("text", F.lit(1))
-    length = F.length("text")
-    start = (F.pmod(F.shiftrightunsigned("own", 8), F.greatest(length - EXCERPT, F.lit(0)) + 1) + 1).cast("int")
-    rows = docs.withColumn("own", own).select("own", F.substring("text", start, F.lit(EXCERPT)).alias("text"))
-
-    def token(name: str, h: Column, size: Column):
-        return lambda r: F.struct(F.lit(name).alias("encoding"), F.when(F.length(r) >= size, F.substring(r, (F.pmod(F.shiftrightunsigned(h, 8), F.length(r) - size + 1) + 1).cast("int"), size)).alias("token"))
-
-    part, tokens = F.pmod("own", F.lit(PARTS)), []
-    for i, (name, (letters, _)) in enumerate(ENCODINGS.items()):
-        source = F.lower("text") if letters.islower() else F.upper("text") if letters.isupper() else F.col("text")
+def letter_pairs(docs: DataFrame) -> DataFrame:
+    """(encoding, pair, n): for each encoding how often its characters follow one another in the words of all texts, equal texts
+    once; a blank stands before and after each word.  Other characters fall out.  Every word of every text counts but for the
+    tokens that are tested, which may be secrets; pairs are taken from the distinct words, of which WORD cuts the long ones."""
+    once = docs.groupBy(F.xxhash64("text", F.lit(1)).alias("own")).agg(F.first("text").alias("text"))
+    words = once.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = words.withColumn("word", F.regexp_replace("word", TOKEN.replace(r"\x01", ""), ""))
+    runs, twins = [], {}
+    for i, (letters, _) in enumerate(ENCODINGS.values()):
+        if letters.upper() == letters and letters.lower() in (own := [x for x, _ in ENCODINGS.values()]):
+            twins[own.index(letters.lower())] = i  # the same characters in the other case
+            continue
+        source = F.translate("word", UPPER, LOWER) if letters == letters.lower() else F.translate("word", LOWER, UPPER) if letters == letters.upper() else F.col("word")
         run = F.regexp_replace(source, f"[^{letters.replace('-', '')}-]+" if "-" in letters else f"[^{letters}]+", "")
-        h = F.xxhash64("own", F.lit(i))
-        size = F.element_at(F.array(*map(F.lit, CLASSES)), (F.pmod(h, F.lit(len(CLASSES))) + 1).cast("int"))
-        tokens.append(F.when(part == i % PARTS, bind(run, token(name, h, size))))
-    return rows.select("own", F.explode(F.array(*tokens)).alias("t")).select("own", "t.encoding", "t.token").where("token is not null")
+        runs.append(F.struct(F.lit(i).alias("encoding"), F.concat(F.lit(" "), run, F.lit(" ")).alias("run")))
+    each = words.select("n", F.explode(F.array(*runs)).alias("r")).select("n", "r.encoding", "r.run").where(F.length("run") > 2)
+    pairs = F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.substring("run", i, F.lit(2)))
+    found = each.select("encoding", "n", F.explode(pairs).alias("pair")).groupBy("encoding", "pair").agg(F.sum("n").alias("n"))
+    both = F.array(F.struct("encoding", "pair"), F.struct(F.element_at(F.create_map(*[F.lit(x) for kv in twins.items() for x in kv]), F.col("encoding")).alias("encoding"), F.upper("pair").alias("pair")))
+    return found.select("n", F.explode(both).alias("p")).select("p.encoding", "p.pair", "n").where("encoding is not null")
+
+
+def ordinary_bins(pairs: list) -> list[tuple[int, int, int]]:
+    """(cell, bin, n): the statistic's histogram for tokens of run together text, from the rows of ``letter_pairs``: the chain in
+    which a character follows another as often as in the texts, and words follow one another independently.  A cell has as many
+    tokens as the texts' characters fill, or CHAINS."""
+    found: dict[int, list] = {}
+    for r in pairs:
+        found.setdefault(r["encoding"], []).append((r["pair"], r["n"]))
+    out = []
+    for i, (letters, _) in enumerate(ENCODINGS.values()):
+        k, rng = len(letters), np.random.default_rng([5, i])
+        place = {c: j for j, c in enumerate(letters + " ")}
+        seen = np.zeros((k + 1, k + 1))
+        for (a, b), n in found.get(i, []):
+            seen[place[a], place[b]] = n
+        total = int(seen[:, :k].sum())
+        if total < CLASSES[0]:
+            continue
+        follows = seen[:k, :k] + seen[:k, k:] * seen[k:, :k] / seen[k, :k].sum()
+        often = follows.sum(axis=1)
+        cum = np.cumsum(follows, axis=1) / np.maximum(often, 1e-300)[:, None]
+        flat, first = (cum + np.arange(k)[:, None]).ravel(), np.cumsum(often) / often.sum()
+        for j, size in enumerate(CLASSES):
+            x = np.zeros((min(CHAINS, total // size), size), dtype=np.int64)
+            if not len(x):
+                continue
+            x[:, 0] = np.minimum(np.searchsorted(first, rng.random(len(x)), side="right"), k - 1)
+            for t in range(1, size):
+                x[:, t] = np.minimum(np.searchsorted(flat, x[:, t - 1] + rng.random(len(x)), side="right") - k * x[:, t - 1], k - 1)
+            counts = np.bincount(np.minimum((statistics(x, k) * BINS_PER_UNIT).astype(int), MOST))
+            out += [(i * len(CLASSES) + j, int(b), int(counts[b])) for b in np.flatnonzero(counts)]
+    return out
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05) -> DataFrame:
@@ -244,7 +278,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         spans(text, HEX).alias("hex"),
         spans(F.col("rest"), TOKEN, keep=lambda m, g: ~m.contains(MASK) & ~m.rlike(NO_LETTER)).alias("tokens"),
     )
-    null = in_bins(battery(ordinary_tokens(texts))).select("own", "cell", "bin").distinct().select("cell", "bin")
+    null = ordinary_bins(letter_pairs(texts).collect())  # at most (letters + 1) squared rows an encoding
     base = written(marked)
     each = base.select("row", F.explode("tokens").alias("c")).select("row", "c.start", "c.token")
     mixed = F.col("token").rlike("[+/]") & F.col("token").rlike("[-_]")
@@ -255,7 +289,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     each = each.select("row", (F.col("start") + F.col("i") * LONGEST).cast("int").alias("start"), "token")
     tested = in_bins(battery(each)).select("row", "start", (F.col("start") + F.col("n")).alias("end"), F.xxhash64("token").alias("own"), "cell", "statistic", "bin")
     tested = written(tested)
-    cut = cuts(tested.select("own", "cell", "bin").distinct(), null, rate)
+    ordinary = docs.sparkSession.createDataFrame(null, "cell int, bin int, n int").select("cell", "bin", F.explode(F.array_repeat("cell", F.col("n"))))
+    cut = cuts(tested.select("own", "cell", "bin").distinct(), ordinary, rate)
     limit = F.create_map(*[F.lit(x) for kv in (cut or {-1: -1.0}).items() for x in kv])
     random = tested.where((F.col("statistic") <= RANDOM) & (F.col("statistic") < F.coalesce(F.try_element_at(limit, F.col("cell")), F.lit(-1.0))))
     by_row = random.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("random"))  # one document's own spans

@@ -281,3 +281,37 @@ def test_blocks_change_nothing(spark):
     terms = pii.revealing(df).count()
     assert terms > 0
     assert key(pii.sanitise(df, replace=True)) == key(pii.sanitise(df, replace=True, block=1))
+
+
+def test_null_counts_every_text_whole(spark):
+    """The pairs behind the thresholds are counted from the first to the last word of each different text, outside tested tokens."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("etaoin shrdlu019+-_/ABC") for _ in range(rng.randint(1, 14))) for _ in range(600)) + " QxZj é" + "ab" * 20 for _ in range(4)]
+    frame = spark.createDataFrame([(t,) for t in [*texts, texts[0], ""]], "text string")
+    got = {(r.encoding, r.pair): r.n for r in secret_scan.letter_pairs(frame).collect()}
+    expected = {}
+    for text in texts:
+        for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+            word = re.sub("[A-Za-z0-9+/_-]{16,}", "", word)
+            for i, (letters, _) in enumerate(secret_scan.ENCODINGS.values()):
+                cased = word.lower() if letters == letters.lower() else word.upper() if letters == letters.upper() else word
+                run = "".join(c for c in cased if c in letters)
+                for a, b in zip(" " + run, run + " ") if run else ():
+                    expected[i, a + b] = expected.get((i, a + b), 0) + 1
+    assert got == expected
+
+
+def test_null_of_all_texts_against_cut_tokens(spark):
+    """The histogram is that of tokens cut from the run together text, for words drawn independently."""
+    rng = random.Random(10)
+    words = ["spread", "ratio", "window", "signal", "entry", "market", "hedge", "return", "price", "symbol"]
+    text = " ".join(rng.choices(words, k=20_000))
+    bins = secret_scan.ordinary_bins(secret_scan.letter_pairs(spark.createDataFrame([(text,)], "text string")).collect())
+    run, letters, cell = text.replace(" ", ""), secret_scan.ENCODINGS["base26"][0], 2 * 6 + 2
+    cut = sorted(plain_statistic(run[a : a + 24], letters) for a in range(0, len(run) - 24, 24))
+    seen, total = 0, sum(n for c, _, n in bins if c == cell)
+    assert total == min(secret_scan.CHAINS, len(run) // 24)
+    for c, b, n in bins:
+        if c == cell:
+            seen += n
+            assert abs(seen / total - sum(x < (b + 1) / 4 for x in cut) / len(cut)) < 0.08
