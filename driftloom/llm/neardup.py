@@ -1,7 +1,10 @@
 """Near-duplicates by word shingles: rows of one group are linked by pairs whose shingle sets have Jaccard similarity 0.8 or more.
 
-Candidates: ``BANDS`` bands of ``ROWS`` min-hashes each; a pair at similarity s shares a band with probability
-1 - (1 - s**ROWS)**BANDS, which is 0.99993 at 0.8 and more above.  Verification: the exact similarity of the two sets.
+Candidates come by Golay-code fuzzy hashing.  Each of TABLES tables takes EXACT + FUZZY min-hashes of a set: the first ones are
+the part free of error, EACH bits of each other one stand side by side in a 23-bit word.  A key is (table, part free of error,
+one of the word's fuzzy Golay codes, 5.3 on average), so words of at most two differing bits always share one, words of three or
+four in 0.6 of the cases.  A pair at similarity 0.8 shares a key with probability 0.99995, and more above (computed).
+Verification: the exact similarity of the two sets.  A key's members are called a band.
 First each set is tested once, against the least-ranked of all members of its bands (the rank is a hash): one test a set connects
 a group of copies.  Then every band that isn't connected is cut into blocks of about ``BLOCK`` members and ``BLOCK_VALUES``
 shingles, and each two blocks meet in one task, which tests the pairs of different components in their least common band: the
@@ -27,14 +30,18 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
 from driftloom.llm.common import bytes_of, column_of, join_hot, quoted, slices, written
+from driftloom.llm.golay import BITS, fuzzy_keys
 from driftloom.llm.simhash import components, least_of_groups, named_rows, row_key
 
-BANDS, ROWS = 24, 5
+TABLES, EXACT, FUZZY, EACH = 15, 2, 8, 3
 BLOCK, BLOCK_VALUES, WIDE = 1024, 1 << 20, 4096
 SENT = 1 << 20  # so many pairs may be broadcast
 DRAW = np.random.default_rng(8)
-FACTORS = DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+HASHES = TABLES * (EXACT + FUZZY)
+FACTORS = DRAW.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHIFTS = DRAW.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+PLACES = np.arange(FUZZY, dtype=np.uint64) * np.uint64(EACH)
+WORD = np.uint64((1 << BITS) - 1)
 
 
 def shingles(raw: bytes, words: int) -> np.ndarray:
@@ -49,27 +56,49 @@ def shingles(raw: bytes, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(digests, dtype=">u8").astype(np.uint64))
 
 
-def bands(of: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of min-hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def codes(of: np.ndarray) -> np.ndarray:
+    """For each table 64 bits: a hash of the table and its part free of error, and below it the 23-bit word."""
+    least = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(of), 2048):
         least = np.minimum(least, (of[at : at + 2048, None] * FACTORS + SHIFTS).min(axis=0))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64)
+    rows = least.reshape(TABLES, EXACT + FUZZY)
+    free = np.array([xxh64_intdigest(r[:EXACT].tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64)
+    bits = (rows[:, EXACT:] >> np.uint64(20)) & np.uint64((1 << EACH) - 1)  # a least value's high bits are zeros
+    return free & ~WORD | (bits << PLACES).sum(axis=1, dtype=np.uint64) & WORD
+
+
+def golay_keys(all_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, keys): the keys under which each code meets others."""
+    rows, index = fuzzy_keys(all_codes & WORD)
+    return rows, (all_codes[rows] >> np.uint64(BITS) << np.uint64(12)) | index.astype(np.uint64)
+
+
+def banded(distinct: DataFrame) -> DataFrame:
+    """(band, node): the keys of each set (own, codes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                rows, keys = golay_keys(column_of(b, "codes").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+                own = column_of(b, "own").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own[rows // TABLES])], names=["band", "node"])
+
+    return distinct.select("own", "codes").mapInArrow(run, "band long, node long")
 
 
 def marks(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, key (see row_key), own (a hash of the shingle set) and the keys of its bands."""
+    """id, key (see row_key), own (a hash of the shingle set) and its codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingles(x, words) for x in bytes_of(b)]
             own = np.array([xxh64_intdigest(s.tobytes(), 1) for s in sets], dtype=np.uint64).view(np.int64)
-            keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([column_of(b, "id"), column_of(b, "key"), pa.array(own), keys], names=["id", "key", "own", "bands"])
+            found = pa.array([codes(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([column_of(b, "id"), column_of(b, "key"), pa.array(own), found], names=["id", "key", "own", "codes"])
 
     rows = docs.select(quoted(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), quoted(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, key binary, own long, bands array<long>")
+    return rows.mapInArrow(run, "id long, key binary, own long, codes array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -189,7 +218,7 @@ def block_tests(left: DataFrame, roots: DataFrame, sets: DataFrame, least: float
     parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("m") / BLOCK_VALUES)).cast("int")
     apart = written(stats.where("lo <> hi").select("band", "n", parts.alias("parts")))
     live = join_hot(known.drop("m"), apart, "band", known.count() // 1000 + 100)
-    by_node = live.groupBy("node", "comp").agg(F.collect_list(F.struct("band", "parts")).alias("of"))  # at most BANDS
+    by_node = live.groupBy("node", "comp").agg(F.collect_list(F.struct("band", "parts")).alias("of"))  # at most 24 a table
     full = by_node.join(sets.select(F.col("own").alias("node"), "s"), "node").withColumn("bands", F.col("of.band"))
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
     each = full.select("node", "comp", "s", "bands", F.explode("of").alias("o")).select("node", "comp", "s", "bands", "o.band", "o.parts")
@@ -207,9 +236,9 @@ def groups(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """id, key, component_id: one row per document; the component is named by its smallest non-null id."""
     rows = written(marks(docs, id_col, text_col, words))
-    distinct = written(rows.groupBy("own").agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("bands").alias("bands"), F.count("*").alias("n")))
-    banded = distinct.select(F.explode("bands").alias("band"), F.col("own").alias("node"))
-    left = written(banded.join(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band", "left_semi"))
+    distinct = written(rows.groupBy("own").agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("codes").alias("codes"), F.count("*").alias("n")))
+    each = banded(distinct)
+    left = written(each.join(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band", "left_semi"))
     wanted = distinct.join(left.select(F.col("node").alias("own")).distinct(), "own", "left_semi").select("own", "key")
     roots = groups(left, written(sets_of(docs, wanted, id_col, text_col, words)), least)
     named = written(least_of_groups(distinct.select("own", "least", "n"), roots, "own"))

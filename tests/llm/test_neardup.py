@@ -116,3 +116,23 @@ def test_group_just_below_the_threshold(spark, monkeypatch, block):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = {r.id for r in near_copies(docs).collect() if r.id == r.component_id}
     assert found == first_of_each(rows) and len(found) > 1
+
+
+def test_candidates_by_golay_keys():
+    """Words of two wrong bits meet under a Golay key; sets at similarity 0.8 share a key, sets without common values none."""
+    from driftloom.llm import golay
+
+    rng = np.random.default_rng(2)
+    own = neardup.codes(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    wrong = np.array([sum(1 << int(p) for p in rng.choice(golay.BITS, 2, replace=False)) for _ in own], dtype=np.uint64)
+    both = [neardup.golay_keys(x) for x in (own, own ^ wrong)]
+    assert all(set(both[0][1][both[0][0] == i]) & set(both[1][1][both[1][0] == i]) for i in range(len(own)))
+    missed = met = 0
+    for _ in range(600):
+        x = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        alike = np.concatenate([x[20:], rng.integers(0, 1 << 63, 20, dtype=np.uint64)])  # 180 of 220: 0.818
+        other = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        keys = [set(neardup.golay_keys(neardup.codes(s))[1]) for s in (x, alike, other)]
+        missed += not keys[0] & keys[1]
+        met += bool(keys[0] & keys[2])
+    assert missed == 0 and met <= 1
