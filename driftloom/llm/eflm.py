@@ -12,7 +12,8 @@ logarithmic scale; absolute discounting, D = n1 / (n1 + 2 n2), down to (c + 1) /
 of all training texts are counted; none is pruned.
 
 A level is cut into shards by key, so that each holds about ``shard_tokens`` tokens; a frequent context is cut by its
-children's ids.  Every pass over the texts counts in each task and sends each shard one Elias-Fano coded block, so a shuffle
+children's ids.  The texts are cut into tokens twice: for the vocabulary, and to write each text's ids (32 bits a token as long
+as they fit) to the shared folder, which the passes of all higher levels and of the scores read.  Every pass counts in each task and sends each shard one Elias-Fano coded block, so a shuffle
 moves a few bytes for each distinct n-gram of a task.  Shard files lie in the shared folder, are written once under names
 of their own (a repeated task writes another file, of which one is used), and are memory-mapped by the scoring tasks.
 To the driver come a few numbers for each shard.  There are at most MAX_SHARDS shards, and keys have 64 bits: a corpus whose
@@ -36,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from driftloom.llm.common import bytes_of, column_of, fold_column, quoted, shared_dir, slices
+from driftloom.llm.common import bytes_of, column_of, fold_column, quoted, shared_dir, slices, written
 from driftloom.llm.elias_fano import EliasFano
 
 END = xxh64_digest(b"")  # no word is empty
-SLICE = 3 << 20
+SLICE = 3 << 20  # bytes of text
+SLICE_IDS = 3 << 20  # bytes of ids
 FLUSH = 6_000_000
 MAX_SHARDS = 65536  # files of a level; beyond them shards grow
 OPEN_SHARDS = 1024
@@ -183,6 +185,10 @@ class Trie:
     def words(self) -> int:
         return self.levels[0].size
 
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype(np.int32 if self.words < 1 << 31 else np.int64)
+
     @property
     def width(self) -> int:
         """Keys are context x width + id; the id ``words`` is the start."""
@@ -209,11 +215,13 @@ class Trie:
 
     def score(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: its count, log10 of (c + 1) / (N + V + 1), and log10 of the model's probability."""
-        unique, back = np.unique(hashes, return_inverse=True)
-        found = self.levels[0].find(unique)
+        return self.score_ids(self.ids(hashes), first)
+
+    def score_ids(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        unique, back = np.unique(ids, return_inverse=True)
         own = np.zeros(len(unique), dtype=np.int64)
-        own[found >= 0] = self.levels[0].counts(found[found >= 0])
-        ids, count = found[back], own[back]
+        own[unique >= 0] = self.levels[0].counts(unique[unique >= 0])
+        count = own[back]
         p = (count + 1) / (self.tokens + self.words + 1)
         base = np.log10(p)
         context = np.where(first, self.words, np.roll(ids, 1)) if len(ids) else ids
@@ -251,6 +259,31 @@ def tokens_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, first, np.array(sizes, dtype=np.int64)
 
 
+def ids_of(batch: pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like tokens_of, from the column ``ids`` of ``encoded``; a text has one token at least."""
+    raws = column_of(batch, "ids").to_pylist()
+    sizes = np.array([len(r) for r in raws], dtype=np.int64) // kind.itemsize
+    ids = np.frombuffer(b"".join(raws), dtype=kind).astype(np.int64)
+    first = np.zeros(len(ids), dtype=bool)
+    first[np.cumsum(sizes) - sizes] = True
+    return ids, first, sizes
+
+
+def encoded(rows: DataFrame, trie: Trie, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` and, for ``text``, the ids of its tokens as bytes (-1: not in the vocabulary), written."""
+    kind = trie.kind
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=SLICE):
+            hashes, _, sizes = tokens_of(bytes_of(b))
+            raw, ends = trie.ids(hashes).astype(kind).tobytes(), np.cumsum(sizes) * kind.itemsize
+            ids = [raw[a:e] for a, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(column_of(b, c) for c in kept), pa.array(ids, pa.binary())], names=[*kept, "ids"])
+
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), "ids binary"])
+    return written(rows.select(*kept, "text").mapInArrow(run, schema))
+
+
 def blocks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
     """A row for each shard: its keys and running counts."""
     cuts = np.append(np.searchsorted(keys, bounds, side="left"), len(keys))
@@ -269,15 +302,14 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def count_keys(texts: DataFrame, bounds: np.ndarray, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def count_keys(texts: DataFrame, bounds: np.ndarray, keys_of: Callable[[pa.RecordBatch], np.ndarray], column: str, limit: int) -> DataFrame:
     """(shard, keys, counts): what each task has counted, in one block for each shard and FLUSH tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for b in slices(batches, limit=SLICE):
-            hashes, first, _ = tokens_of(bytes_of(b))
-            held.append(np.unique(keys_of(hashes, first), return_counts=True))
+        for b in slices(batches, column, limit):
+            held.append(np.unique(keys_of(b), return_counts=True))
             size += len(held[-1][0])
             if size >= FLUSH:
                 yield blocks(*summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])), bounds)
@@ -285,7 +317,7 @@ def count_keys(texts: DataFrame, bounds: np.ndarray, keys_of: Callable[[np.ndarr
         if held:
             yield blocks(*summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])), bounds)
 
-    return texts.mapInArrow(run, "shard int, keys binary, counts binary")
+    return texts.select(column).mapInArrow(run, "shard int, keys binary, counts binary")
 
 
 def decoded(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -414,14 +446,21 @@ def weigh(spark, level: Level, below: Level, trie: Trie, rows: list, folder: str
         level.weights[r.shard] = r.uri
 
 
-def build(texts: DataFrame, *, order: int = 3, shard_tokens: int = 2_000_000) -> Trie:
+def build(texts: DataFrame, **options) -> Trie:
     """A trie from all rows of ``texts`` (column text)."""
-    spark, folder = texts.sparkSession, shared_dir(texts.sparkSession)
+    return trained(texts.select("text", F.lit(False).alias("held_out")), [], **options)[0]
+
+
+def trained(rows: DataFrame, kept: list[str], *, order: int = 3, shard_tokens: int = 2_000_000) -> tuple[Trie, DataFrame]:
+    """A trie from the rows of ``rows`` (columns text, held_out and ``kept``) that are not held out, and all rows ``encoded``."""
+    spark, folder = rows.sparkSession, shared_dir(rows.sparkSession)
+    texts = rows.where("not held_out").select("text")
     size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     shards = int(min(MAX_SHARDS, max(1, (size.b or 0) / 6 // shard_tokens)))
     bounds = np.array([(1 << 64) * i // shards for i in range(shards)], dtype=np.uint64)
-    rows = merged(count_keys(texts, bounds, lambda h, _: h), bounds, 1, f"{folder}/1")  # words have no context
-    trie = Trie([level_of(rows, bounds)], sum(r.tokens for r in rows), size.n)
+    found = merged(count_keys(texts, bounds, lambda b: tokens_of(bytes_of(b))[0], "text", SLICE), bounds, 1, f"{folder}/1")  # words have no context
+    trie = Trie([level_of(found, bounds)], sum(r.tokens for r in found), size.n)
+    coded = encoded(rows, trie, ["held_out", *kept])
     for k in range(2, order + 1):
         below, contexts = trie.levels[-1], trie.width if k == 2 else trie.levels[-1].size
         check_keys(contexts, trie.width)
@@ -429,31 +468,31 @@ def build(texts: DataFrame, *, order: int = 3, shard_tokens: int = 2_000_000) ->
         hot = frequent(spark, below, least) + ([(trie.words, size.n)] if k == 2 and size.n > least else [])
         bounds = bounds_for(contexts, trie.width, shards, hot, least)
 
-        def keys_of(hashes: np.ndarray, first: np.ndarray, k: int = k) -> np.ndarray:
-            ids = trie.ids(hashes)
+        def keys_of(b: pa.RecordBatch, k: int = k) -> np.ndarray:
+            ids, first, _ = ids_of(b, trie.kind)
             return trie.keys(trie.context(ids, first, k), ids)[0]
 
-        rows = merged(count_keys(texts, bounds, keys_of), bounds, trie.width, f"{folder}/{k}")
-        level = level_of(rows, bounds)
-        weigh(spark, level, below, trie, rows, f"{folder}/{k}w", k == 2, hot)
+        found = merged(count_keys(coded.where("not held_out"), bounds, keys_of, "ids", SLICE_IDS), bounds, trie.width, f"{folder}/{k}")
+        level = level_of(found, bounds)
+        weigh(spark, level, below, trie, found, f"{folder}/{k}w", k == 2, hot)
         trie.levels.append(level)
-    return trie
+    return trie, coded
 
 
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from the documents not held out."""
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text")).withColumn("held_out", fold_column("doc_id", folds) == held_fold)
-    trie = build(rows.where("not held_out").select("text"), **options)
+    trie, coded = trained(rows, ["doc_id"], **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=SLICE):
-            hashes, first, sizes = tokens_of(bytes_of(b))
-            count, base, model = trie.score(hashes, first)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        for b in slices(batches, "ids", SLICE_IDS):
+            ids, first, sizes = ids_of(b, trie.kind)
+            count, base, model = trie.score_ids(ids, first)
+            starts = np.cumsum(sizes) - sizes
             known = np.add.reduceat((count > 0).astype(np.int64), starts)
             cols = [column_of(b, "doc_id"), column_of(b, "held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), trie.tokens))]
             cols += [pa.array(np.add.reduceat(x, starts)) for x in (base, model)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    return coded.select("doc_id", "held_out", "ids").mapInArrow(run, schema)

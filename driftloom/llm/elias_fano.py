@@ -107,8 +107,14 @@ class EliasFano:
         if not live.size or not self.n:
             return out
         wanted, part = values[live] & np.uint64((1 << self.width) - 1), part[live].astype(np.int64)
-        first = self.start_of(part) - part
-        last = self.start_of(part + 1) - part - 1
+        at = self.start_of(part)
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        bits = (self.high[word] >> shift) | np.where(shift > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        run = np.bitwise_count(bits & ~(bits + ONE)).astype(np.int64)  # ones up to the next zero; the last word has none
+        long = np.flatnonzero(run == 64)
+        run[long] = self.start_of(part[long] + 1) - at[long] - 1
+        first = at - part
+        last = first + run
         some = first < last
         live, wanted, first, last = live[some], wanted[some], first[some], last[some]
         low, high = first, last.copy()

@@ -257,3 +257,31 @@ def test_probabilities_sum_to_one(spark):
     total = sum(10 ** trie.score(np.array([hashes[b"a"], h]), first)[2][1] for h in hashes.values())
     unknown = 10 ** trie.score(np.array([hashes[b"a"], np.uint64(5)]), first)[2][1]
     assert total + unknown == pytest.approx(1, abs=0.03)
+
+
+def test_texts_are_cut_into_tokens_twice(spark, docs, monkeypatch):
+    """Only the vocabulary and the ids are made from the texts: higher levels and the scores read the ids."""
+    counted = spark.sparkContext.accumulator(0)
+    own = eflm.tokens_of
+
+    def counting(raws):
+        counted.add(len(raws))
+        return own(raws)
+
+    monkeypatch.setattr(eflm, "tokens_of", counting)
+    out = eflm.score_texts(docs, shard_tokens=100).collect()
+    assert counted.value == sum(not r.held_out for r in out) + len(out)
+
+
+def test_runs_of_equal_high_parts():
+    """Stretches of over 64 values of one high part, and their ends, are found."""
+    from driftloom.llm.elias_fano import EliasFano
+
+    for values in (np.arange(1000), np.concatenate([np.arange(63), [5000, 5001], np.arange(9000, 9064), np.arange(70_000, 70_200), [1 << 40]])):
+        values = values.astype(np.uint64)
+        code = EliasFano(EliasFano.encode(values))
+        asked = np.arange(0, 71_000, dtype=np.uint64)
+        at = np.searchsorted(values, asked)
+        wanted = np.where((at < len(values)) & (values[np.minimum(at, len(values) - 1)] == asked), at, -1)
+        assert code.find(asked).tolist() == wanted.tolist()
+        assert code.find(values).tolist() == list(range(len(values)))
