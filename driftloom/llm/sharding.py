@@ -8,7 +8,8 @@
 4. The exchange goes by shard and a random sub-bucket; each (shard, bucket) permutes again, and bucket offsets make slots
    gapless.  Sub-buckets keep a task's rows bounded however few shards there are.
 
-The row number needs one fixed order, so the rows are first written to the shared folder: pass narrow rows.
+The row number needs one fixed order, so the rows are first written to the shared folder: pass narrow rows.  Nothing else is
+written: step 3 has one result for the written rows, so what step 4 counts is what it joins.
 Defined cases: equal rows and null values are dealt as rows of their own; an empty table gives no rows; extra columns keep
 their values whatever their names, but columns named shard or slot, in either case, give way to the result's.
 """
@@ -90,7 +91,6 @@ def shard_rows(df: DataFrame, shards: int, *, seed: int = 17, blocks: int | None
         .withColumn(bucket, F.pmod(F.shiftrightunsigned(key, 20), F.lit(buckets)).cast("int"))
         .drop(ends, rank, block)
     )
-    sent = written(sent)
     counts = sent.groupBy("shard", bucket).agg(F.count("*").alias(n))
     before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))

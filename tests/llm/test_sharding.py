@@ -77,3 +77,17 @@ def test_orders_are_uniform(spark):
         for r in shard_rows(df, 3, seed=seed * 1000, blocks=2).collect():
             hits[r.id, r.shard] += 1
     assert all(1 <= hits[i, s] <= 22 for i in range(6) for s in range(3))
+
+
+def test_one_table_is_written(spark):
+    """Only the numbered rows go to the shared folder, and shards and slots come out whole."""
+    from driftloom.llm.common import OPEN, scratch
+
+    with scratch(spark):
+        rows = shard_rows(spark.range(0, 5000, 1, 7), 24).collect()
+        assert len(OPEN.get()) == 1
+    assert sorted(r.id for r in rows) == list(range(5000))
+    shards = defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) and len(v) in (208, 209) for v in shards.values())
